@@ -1,0 +1,4 @@
+"""Registry of the engine's own queries and of the SQL they are checked against."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
