@@ -1,0 +1,97 @@
+"""Text cleaning and assembly as column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Tags whose blocks are removed.
+WRAPPERS = ("local-command-caveat", "command-name", "command-message", "command-args", "command-contents", "local-command-stdout", "system-reminder")
+#: Secrets, in the order in which they are replaced.
+SECRETS = (
+    r"sk-ant-[A-Za-z0-9_-]{10,}",
+    r"sk-[A-Za-z0-9]{10,}",
+    r"ghp_[A-Za-z0-9]{20,}",
+    r"AKIA[0-9A-Z]{16}",
+    r"xox[baprs]-[A-Za-z0-9-]{10,}",
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----",
+)
+#: Words that don't count in token overlaps.
+STOP_WORDS = ("the", "and", "for", "with", "that", "this", "from", "into", "your")
+MESSAGE_CUT, TOTAL_CUT = " […]", "[… truncated]"
+
+
+def strip(text: Column) -> Column:
+    """White space off both ends, Unicode white space included."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def scrub_secrets(text: Column) -> Column:
+    for pattern in SECRETS:
+        text = F.regexp_replace(text, pattern, "[REDACTED]")
+    return text
+
+
+def strip_wrappers(text: Column) -> Column:
+    for tag in WRAPPERS:
+        text = F.regexp_replace(text, f"(?is)<{tag}>.*?</{tag}>", "")
+    return strip(text)
+
+
+def has_marker(text: Column, markers: tuple[str, ...], head: int = 200) -> Column:
+    """Whether one of ``markers`` is within the first ``head`` characters of the stripped text."""
+    start = F.substring(strip(text), 1, head)
+    out = F.lit(False)
+    for marker in markers:
+        out = out | F.contains(start, F.lit(marker))
+    return out
+
+
+def cut(text: Column, cap: int, mark: str = "…") -> Column:
+    return F.when(F.length(text) > cap, F.concat(F.substring(text, 1, cap), F.lit(mark))).otherwise(text)
+
+
+def word_set(text: Column) -> Column:
+    """Distinct lower-case runs of three or more ASCII letters, without stop words."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0))
+    return F.array_except(words, F.array(*[F.lit(w) for w in STOP_WORDS]))
+
+
+def fallback_label(text: Column, cap: int = 40) -> Column:
+    """The text; if it is longer than ``cap``, its head without the last partial word."""
+    head = F.substring(text, 1, cap)
+    return F.when(F.length(text) > cap, F.regexp_replace(head, r"\s+\S*$", "")).otherwise(text)
+
+
+def within_budget(lines: DataFrame, group: list[str], order: list[str], line: str, cap: int) -> DataFrame:
+    """Rows of each group, in order, up to the first that would take the summed length over ``cap``; ``is_cut`` marks
+    groups that lost rows. Lengths are never negative, so the running sum crosses the cap once."""
+    running = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*group)
+    sized = lines.withColumn("used", F.sum(F.length(line)).over(running))
+    return sized.withColumn("is_cut", F.max(F.col("used") > cap).over(whole)).where(F.col("used") <= cap).drop("used")
+
+
+def render_prompts(messages: DataFrame, markers: tuple[str, ...] = (), message_cap: int = 2000, total_cap: int = 16_000) -> DataFrame:
+    """(session_id, prompt) from messages (session_id, idx, role, text): meta messages and blanks dropped, long ones cut,
+    secrets scrubbed, whole lines up to the total cap. ``idx`` counts all messages from 0."""
+    kept = messages.where(~has_marker(F.col("text"), markers)).withColumn("t", strip_wrappers(F.col("text"))).where(F.length("t") > 0)
+    line = F.concat(F.lit("msg:"), F.col("idx").cast("string"), F.lit(" ["), F.col("role"), F.lit("] "), cut(F.col("t"), message_cap, MESSAGE_CUT))
+    lines = kept.select("session_id", "idx", scrub_secrets(line).alias("line"))
+    fit = within_budget(lines, ["session_id"], ["idx"], "line", total_cap)
+    grouped = fit.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("idx", "line"))).alias("l"), F.max("is_cut").alias("is_cut"))
+    body = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
+    return grouped.select("session_id", F.when(F.col("is_cut"), F.concat(body, F.lit("\n" + TOTAL_CUT))).otherwise(body).alias("prompt"))
+
+
+def excerpt(span: Column, messages: Column, cap: int = 400) -> Column:
+    """Text of the message that ``msg:<i>`` points to; null if it points nowhere."""
+    i = F.expr("try_cast(null as int)") if span is None else F.when(span.rlike("^msg:[0-9]{1,6}$"), F.substring_index(span, ":", -1).cast("int"))
+    return F.substring(strip(F.get(messages, i)["text"]), 1, cap)
+
+
+def normalize_cites(cites: Column, valid: Column) -> Column:
+    """Known ids among ``cites``, given in full or without their prefix, brackets ignored; order kept, repeats dropped."""
+    bare = F.transform(cites, lambda c: F.regexp_replace(c, r"^[\s\[\]]+|[\s\[\]]+$", ""))
+    full = F.transform(bare, lambda c: F.when(c.startswith("note:"), c).otherwise(F.concat(F.lit("note:"), c)))
+    return F.array_distinct(F.filter(full, lambda c: F.array_contains(valid, c)))
