@@ -251,7 +251,9 @@ def training_windows(texts: list[str], seed: int = 7) -> tuple[np.ndarray, np.nd
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict:
     """Train on at most ``sample_docs`` documents that hold a trigger, the first in the order of hashed ids."""
     with_any = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("doc_id").alias("h"), "text")
-    texts = [r["text"] for r in with_any.orderBy("h", "text").limit(sample_docs).collect()]
+    # hashes alone are ranked first, so that only the sample's texts travel
+    last = with_any.select("h").orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    texts = [] if last is None else [r["text"] for r in with_any.where(F.col("h") <= last).orderBy("h", "text").limit(sample_docs).collect()]
     return train(*training_windows(texts))
 
 
