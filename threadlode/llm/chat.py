@@ -7,7 +7,7 @@ The log is a table of events (conv_id, seq, kind, msg, role, text):
 * ``regenerate``: the message starts anew with this text, and whatever was written before this event to messages
   opened after it is discarded (an answer that is generated again takes the turns after it along).
 
-A message whose events are all discarded is gone. Its role is the last one given. Events are ordered by seq, ties by
+A message whose events are all discarded is gone. Its role is the last one given to it. Events are ordered by seq, ties by
 msg, kind, role and text; a null kind counts as delta, a null text as empty, a null role as empty. A null conv_id is
 a conversation of its own; rows that are wholly equal are kept each, as separate events. An empty log gives no rows.
 
@@ -55,12 +55,12 @@ def fold(events: DataFrame) -> DataFrame:
     e = e.withColumn("at", F.row_number().over(log))
     message = Window.partitionBy("conv_id", "msg")
     e = e.withColumn("opened", F.min("at").over(message)).withColumn("reset", F.max(F.when(F.col("kind").isin("edit", "regenerate"), F.col("at"))).over(message))
+    e = e.withColumn("said", F.max(F.when(F.col("role").isNotNull(), F.struct("at", "role"))).over(message)["role"])
     later = Window.partitionBy("conv_id").orderBy("at").rowsBetween(1, Window.unboundedFollowing)
     e = e.withColumn("redone", F.min(F.when(F.col("kind") == "regenerate", F.col("opened"))).over(later))
     alive = e.where("(reset is null or at >= reset) and (redone is null or redone >= opened)")
-    last_role = F.max(F.when(F.col("role").isNotNull(), F.struct("at", "role")))["role"]
     pieces = F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"])
-    messages = alive.groupBy("conv_id", "opened").agg(F.coalesce(last_role, F.lit("")).alias("role"), F.array_join(pieces, "").alias("text"))
+    messages = alive.groupBy("conv_id", "opened").agg(F.coalesce(F.max("said"), F.lit("")).alias("role"), F.array_join(pieces, "").alias("text"))
     return messages.select("conv_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("opened")).alias("place"), "role", "text")
 
 

@@ -27,6 +27,8 @@ ROUNDS, SURE, MOVED = 3, 0.95, 200
 PAIRS, SOURCES, LANGS = 256, 64, 16
 #: Lowest probability of good quality that is kept; under one half, as losing a good document costs more than keeping a bad one.
 KEEP_FROM = 0.3
+#: Ridge penalties of the two views, and of the slope that calibrates them.
+PENALTIES, SLOPE_PENALTY = (3.0, 30.0), 0.02
 HELD_OUT = 4  # every fourth labelled document
 
 _GROUPS = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" ", b"\n", b".", b",", b"!", b"$%&#*|@^~<>{}[]=_+\\/", b"?;:'\"()-"]
@@ -113,8 +115,8 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     a = np.stack([z, np.ones_like(z)], 1)
     for _ in range(25):
         p = _sigmoid(a @ w)
-        h = (a * (p * (1 - p))[:, None]).T @ a + np.diag([1.0, 1e-3])
-        w -= np.linalg.solve(h, a.T @ (p - y) + np.array([1.0, 1e-3]) * w)
+        h = (a * (p * (1 - p))[:, None]).T @ a + np.diag([SLOPE_PENALTY, 1e-3])
+        w -= np.linalg.solve(h, a.T @ (p - y) + np.array([SLOPE_PENALTY, 1e-3]) * w)
     return (float(w[0]), float(w[1])) if w[0] > 0 else (0.0, float(_odds(y.mean())))
 
 
@@ -123,8 +125,7 @@ def co_train(views: list[np.ndarray], y: np.ndarray, free: list[np.ndarray], rou
     held = np.arange(len(y)) % HELD_OUT == 0 if len(y) >= 40 else np.zeros(len(y), bool)
     xs, ys = [v[~held] for v in views], [y[~held]] * 2
     left = np.ones(len(free[0]), bool)
-    penalties = (3.0, 100.0)
-    fitted = [logistic(x, t, c) for x, t, c in zip(xs, ys, penalties, strict=True)]
+    fitted = [logistic(x, t, c) for x, t, c in zip(xs, ys, PENALTIES, strict=True)]
     for _ in range(rounds):
         news = []
         for k in range(2):
@@ -137,7 +138,7 @@ def co_train(views: list[np.ndarray], y: np.ndarray, free: list[np.ndarray], rou
         for k, (rows, labels) in enumerate(news):
             xs[1 - k], ys[1 - k] = np.vstack([xs[1 - k], free[1 - k][rows]]), np.concatenate([ys[1 - k], labels])
             left[rows] = False
-        fitted = [logistic(x, t, c) for x, t, c in zip(xs, ys, penalties, strict=True)]
+        fitted = [logistic(x, t, c) for x, t, c in zip(xs, ys, PENALTIES, strict=True)]
     test = held if held.any() else ~held
     scales = [calibrate(predict(f, v[test]), y[test]) for f, v in zip(fitted, views, strict=True)]
     return {"views": fitted, "scales": scales, "prior": float(_odds(y.mean()))}
