@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadlode.llm.common import map_batches
-from threadlode.llm.tokens import Chunker, vocabulary_path
+from threadlode.llm.tokens import vocabulary_path, worker_chunker
 from threadlode.session import materialize
 
 CAPACITY = 1024
@@ -50,24 +50,28 @@ def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int =
     keep_space = vocabulary.startswith("byte")
 
     def cut(batches):
-        coder = Chunker(vocabulary_file or vocabulary_path(vocabulary), keep_space)
-        part, ranks, cuts = TaskContext.get().partitionId(), {}, {}
+        coder = worker_chunker(vocabulary_file or vocabulary_path(vocabulary), keep_space)
+        part, seen, cuts = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), {}
         for batch in batches:
             flat, sizes = coder.batch(batch.column("text"))
-            edges = np.cumsum(sizes)
-            own = np.insert(flat, edges, end_id).astype("<u4")
-            at, rows = 0, []
-            for doc_id, n in zip(batch.column("doc_id").to_pylist(), (sizes + 1).tolist(), strict=True):
-                raw, start = memoryview(own[at : at + n].tobytes()), 0
-                if n not in cuts:
-                    cuts[n] = piece_lengths(n, capacity)
-                for length in cuts[n]:
-                    ranks[length] = rank = ranks.get(length, -1) + 1
-                    rows.append((part, length, rank, doc_id, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), n))
-                    start += length
-                at += n
-            columns = list(zip(*rows, strict=True)) or [[]] * 8
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.int32()] * 2 + [pa.int64()] * 6, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
+            own = memoryview(np.insert(flat, np.cumsum(sizes), end_id).astype("<u4").tobytes())
+            tokens = sizes + 1
+            for n in set(tokens.tolist()).difference(cuts):
+                cuts[n] = np.array(piece_lengths(n, capacity), np.int64)
+            parts = [cuts[n] for n in tokens.tolist()]
+            length = np.concatenate([np.zeros(0, np.int64), *parts])
+            of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            ends = np.cumsum(length)
+            start = ends - length - (np.cumsum(tokens) - tokens)[of]
+            # ranks go on from those of the task's earlier batches
+            order = np.argsort(length, kind="stable")
+            first = np.searchsorted(length[order], length[order])
+            rank = np.empty(len(length), np.int64)
+            rank[order] = np.arange(len(length)) - first + seen[length[order]]
+            seen += np.bincount(length, minlength=capacity + 1)
+            crc = [zlib.crc32(own[4 * a : 4 * b]) for a, b in zip((ends - length).tolist(), ends.tolist(), strict=True)]
+            columns = [np.full(len(length), part), length, rank, batch.column("doc_id").take(pa.array(of)), start, length, crc, tokens[of]]
+            yield pa.record_batch([pa.array(c).cast(t) for c, t in zip(columns, [pa.int32()] * 2 + [pa.int64()] * 6, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
 
     return map_batches(docs.select("doc_id", "text"), cut, PIECES)
 

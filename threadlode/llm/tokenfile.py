@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadlode.llm.common import map_batches
-from threadlode.llm.tokens import Chunker, vocabulary_path
+from threadlode.llm.tokens import vocabulary_path, worker_chunker
 from threadlode.session import materialize, work_path
 
 #: Ids in a file, from which on the next document begins another.
@@ -87,7 +87,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49
     keep_space = vocabulary.startswith("byte")
 
     def encode(batches):
-        coder = Chunker(vocabulary_file or vocabulary_path(vocabulary), keep_space)
+        coder = worker_chunker(vocabulary_file or vocabulary_path(vocabulary), keep_space)
         kind = np.uint16 if coder.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         part, chunk = TaskContext.get().partitionId(), 0
         held, counts, doc_ids, n = [], [], [], 0

@@ -11,13 +11,14 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct chunks that a worker remembers (some 170 bytes each); beyond it the memory is started anew.
-CACHE_ENTRIES = 900_000
+CACHE_ENTRIES = 700_000
 #: Chunks longer than this are encoded but not remembered.
 CACHE_CHARS = 48
 
@@ -164,3 +165,9 @@ class Chunker:
             for k, ids in own.items():
                 counts[k] = len(ids)
         return flat, counts
+
+
+@lru_cache(maxsize=1)
+def worker_chunker(path: str, keep_space: bool) -> Chunker:
+    """The worker's own coder: its memory of words outlives a task, as Spark uses a worker for many."""
+    return Chunker(path, keep_space)
