@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import gc
+import shutil
+import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +46,25 @@ def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     path = work_path(spark, name)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now and not whenever the driver next collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once per application, so that they needn't have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    own = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as tmp:
+        clean = shutil.copytree(own, Path(tmp, "copy", own.name), ignore=shutil.ignore_patterns("__pycache__"))
+        archive = shutil.make_archive(str(Path(tempfile.mkdtemp(), own.name)), "zip", clean.parent)
+    context.addPyFile(archive)
