@@ -90,7 +90,7 @@ def parse_logs(files: DataFrame, source: str = "cli", markers: tuple[str, ...] =
 
 
 def read_logs(spark: SparkSession, path: str, **options) -> DataFrame:
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path, wholetext=True)
     return parse_logs(files.select(F.col("_metadata.file_path").alias("path"), "value"), **options)
 
 
@@ -126,7 +126,7 @@ def parse_export(files: DataFrame, source: str = "chat-export", user: str = "loc
 
 def read_export(spark: SparkSession, path: str, **options) -> DataFrame:
     """A JSON file, a folder of them, or ZIP files that hold ``conversations.json``."""
-    plain = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
+    plain = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
 
     def unzip(batches):
         import io
