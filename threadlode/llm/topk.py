@@ -20,8 +20,10 @@ from threadlode.session import materialize
 
 #: Rows in a block of candidates, and in a block of queries.
 BLOCK, QUERY_BLOCK = 2048, 1024
-#: Rotated coordinates in a partial sum.
-HEAD = 16
+#: Share of all vectors' squared length that the coordinates of a partial sum hold.
+HEAD_SHARE = 0.8
+#: Pairs scored exactly at a time.
+PAIRS = 1 << 16
 #: Components are held to this magnitude, so that sums over up to 2,048 of them fit a long.
 LARGEST = 1 << 26
 
@@ -47,8 +49,9 @@ def _matrix(column, dims: int) -> np.ndarray:
     return out
 
 
-def rotation(ints: DataFrame, dims: int) -> np.ndarray:
-    """Eigenvectors, strongest first, of the sum of outer products over all rows (dims x dims values reach the driver)."""
+def rotation(ints: DataFrame, dims: int) -> tuple[np.ndarray, int]:
+    """Eigenvectors, strongest first, of the sum of outer products over all rows (dims x dims values reach the driver),
+    and how many of them hold ``HEAD_SHARE`` of the squared lengths."""
 
     def gram(batches):
         total = np.zeros((dims, dims))
@@ -60,24 +63,36 @@ def rotation(ints: DataFrame, dims: int) -> np.ndarray:
     cells = ints.select("x").mapInArrow(gram, "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).toPandas()
     matrix = np.zeros(dims * dims)
     matrix[cells["i"]] = cells["g"]
-    return np.linalg.eigh(matrix.reshape(dims, dims))[1][:, ::-1].copy()
+    values, turn = np.linalg.eigh(matrix.reshape(dims, dims))
+    held = np.cumsum(np.maximum(values[::-1], 0))
+    return turn[:, ::-1].copy(), min(dims, int(np.searchsorted(held, HEAD_SHARE * held[-1])) + 1)
 
 
-def search_block(q: np.ndarray, q_ids: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best k (scores, ids) for each query over ``blocks`` of (ids, integer vectors) in descending order of length."""
+def _exact(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Integer products of rows i of q and j of x, some pairs at a time."""
+    out = np.empty(len(i), np.int64)
+    for at in range(0, len(i), PAIRS):
+        part = slice(at, at + PAIRS)
+        out[part] = np.einsum("ij,ij->i", q[i[part]], x[j[part]])
+    return out
+
+
+def search_block(q: np.ndarray, q_ids: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], turn: np.ndarray, k: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Best k (scores, ids) for each query over ``blocks`` of (ids, integer vectors) in descending order of length;
+    ``first`` rotated coordinates make the partial sums."""
     rotated = q @ turn
-    head, q_norm, q_rest = rotated[:, :HEAD], np.linalg.norm(rotated, axis=1), np.linalg.norm(rotated[:, HEAD:], axis=1)
+    head, q_norm, q_rest = rotated[:, :first], np.linalg.norm(rotated, axis=1), np.linalg.norm(rotated[:, first:], axis=1)
     none = np.iinfo(np.int64).min
     best, ids = np.full((len(q), k), none), np.full((len(q), k), np.iinfo(np.int64).max)
     for x_ids, x in blocks:
         own = x @ turn
-        norm, rest = np.linalg.norm(own, axis=1), np.linalg.norm(own[:, HEAD:], axis=1)
+        norm, rest = np.linalg.norm(own, axis=1), np.linalg.norm(own[:, first:], axis=1)
         floor = np.where(best[:, -1] == none, -np.inf, best[:, -1].astype(float))
         slack = 1e-9 * q_norm * norm.max() + 1e-6
         live = np.flatnonzero(q_norm * norm.max() + slack >= floor)
         if not len(live):
             break
-        bound = head[live] @ own[:, :HEAD].T + np.outer(q_rest[live], rest) + slack[live, None]
+        bound = head[live] @ own[:, :first].T + np.outer(q_rest[live], rest) + slack[live, None]
         bound[q_ids[live][:, None] == x_ids] = -np.inf
         # the k best bounds are scored first: they raise the floor for the rest of the block
         few = min(k, len(x_ids))
@@ -87,7 +102,7 @@ def search_block(q: np.ndarray, q_ids: np.ndarray, blocks: list[tuple[np.ndarray
         merged = np.sort(np.concatenate([best[live], lead_scores], 1), 1)[:, -k]
         floor = np.where(merged == none, -np.inf, merged.astype(float))
         i, j = np.nonzero((bound >= floor[:, None]) & ~np.isneginf(bound))
-        rows, scores = live[i], np.einsum("ij,ij->i", q[live[i]], x[j])
+        rows, scores = live[i], _exact(q, x, live[i], j)
         keep = scores >= np.where(merged == none, none, merged)[i]
         rows, scores, found = rows[keep], scores[keep], x_ids[j[keep]]
         held = best[live] != none
@@ -95,8 +110,8 @@ def search_block(q: np.ndarray, q_ids: np.ndarray, blocks: list[tuple[np.ndarray
         scores, found = np.concatenate([scores, best[live][held]]), np.concatenate([found, ids[live][held]])
         order = np.lexsort((found, -scores, rows))
         rows, scores, found = rows[order], scores[order], found[order]
-        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, int)
-        rank = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))
+        runs = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, int)
+        rank = np.arange(len(rows)) - np.repeat(runs, np.diff(np.r_[runs, len(rows)]))
         take = rank < k
         best[rows[take], rank[take]], ids[rows[take], rank[take]] = scores[take], found[take]
     return best, ids
@@ -117,7 +132,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
     if not size["n"] or not size["q"]:
         return spark.createDataFrame([], out)
     dims, q_parts = max(1, size["dims"]), -(-size["q"] // QUERY_BLOCK)
-    turn = rotation(ints, dims)
+    turn, first = rotation(ints, dims)
     square = F.aggregate("x", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     ordered = ints.withColumn("square", square).repartitionByRange(F.desc("square"), "vec_id").sortWithinPartitions(F.desc("square"), "vec_id")
 
@@ -149,7 +164,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
         for i, x in enumerate(left["x"]):
             q[i, : len(x)] = x
         q_ids = left["vec_id"].to_numpy()
-        best, ids = search_block(q, q_ids, made, turn, k)
+        best, ids = search_block(q, q_ids, made, turn, k, first)
         i, j = np.nonzero(best != np.iinfo(np.int64).min)
         return pd.DataFrame({"query_id": q_ids[i], "vec_id": ids[i, j], "score": best[i, j]})
 
