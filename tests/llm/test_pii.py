@@ -34,6 +34,15 @@ def test_base_spans(text):
     assert pii.base_spans(text) == _reference(text)
 
 
+def test_long_runs_stay_linear():
+    import time
+
+    began = time.time()
+    for text in ("1" * 200_000, "a" * 200_000 + "@b", "1." * 100_000, "a@" * 100_000, "+" * 200_000, "1 " * 100_000):
+        assert pii.base_spans(text) == [] or text.startswith("1.")
+    assert time.time() - began < 20
+
+
 def test_model_learns_and_adds(model):
     import numpy as np
 

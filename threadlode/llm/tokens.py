@@ -59,6 +59,7 @@ class Chunker:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
         self.model = self.tokenizer.model
         self.keep_space = keep_space
         self.pattern = _KEEP_SPACE if keep_space else _DROP_SPACE
