@@ -346,7 +346,7 @@ def dismissed_counts(t: Tables):
 
 
 def _blocked(t: Tables):
-    return review.dismissed_themes(t.digest_log, 20).select("theme_ref")
+    return review.dismissed_themes(t.digest_log, 45).select("theme_ref")
 
 
 @query

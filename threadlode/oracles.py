@@ -110,7 +110,7 @@ messages AS (
 ), dismissed AS (
   SELECT theme_ref, count(*) AS n_dismissed FROM log WHERE outcome = 'dismissed' GROUP BY theme_ref HAVING count(*) >= 2
 ), blocked AS (
-  SELECT theme_ref FROM dismissed WHERE n_dismissed >= 20
+  SELECT theme_ref FROM dismissed WHERE n_dismissed >= 45
 ), recent AS (
   SELECT DISTINCT theme_ref FROM log WHERE kind = 'nudge' AND digest_id IN (SELECT DISTINCT digest_id FROM log ORDER BY digest_id DESC LIMIT 2)
 ), digest_c AS (
