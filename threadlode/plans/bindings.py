@@ -12,6 +12,7 @@ from threadlode.functions.ids import DAY_US, note_id
 from threadlode.functions.vectors import doubles
 from threadlode.operators import links as link_ops
 from threadlode.operators import themes as theme_ops
+from threadlode.session import materialize
 
 #: 2026-07-01 UTC: queries never read the clock.
 NOW_US = 1_782_864_000_000_000
@@ -71,23 +72,29 @@ class Tables:
         first = Window.partitionBy("note_id").orderBy("vec_id")
         return self.embedded.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
 
+    @cached_property
+    def rollup(self) -> DataFrame:
+        """A derived table, written once: status, labels and mutes all come from it."""
+        return materialize(theme_ops.rollup(self.notes), "themes")
+
     @cached_property
     def known_status(self) -> DataFrame:
         """Earlier verdicts: the themes of label 3 were resolved."""
-        return theme_ops.rollup(self.notes).where(F.col("theme_id").startswith("theme:3-")).select("content_hash", F.lit("resolved").alias("known_status"))
+        return self.rollup.where(F.col("theme_id").startswith("theme:3-")).select("content_hash", F.lit("resolved").alias("known_status"))
 
     @cached_property
     def themes(self) -> DataFrame:
-        return theme_ops.status(theme_ops.rollup(self.notes), NOW_US, self.known_status)
+        return theme_ops.status(self.rollup, NOW_US, self.known_status)
 
     @cached_property
     def muted(self) -> DataFrame:
         """The labels of every ninth theme, as the user would have typed them."""
-        return theme_ops.rollup(self.notes).where(F.col("theme_id").endswith("-5")).select(F.lower(F.trim("label")).alias("label_lc")).distinct()
+        return self.rollup.where(F.col("theme_id").endswith("-5")).select(F.lower(F.trim("label")).alias("label_lc")).distinct()
 
     @cached_property
     def links(self) -> DataFrame:
-        return link_ops.links(self.notes, FLOOR)
+        """A derived table of at most 200 rows, written once."""
+        return materialize(link_ops.links(self.notes, FLOOR), "links")
 
     @cached_property
     def proposals(self) -> DataFrame:
