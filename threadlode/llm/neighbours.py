@@ -30,7 +30,8 @@ BLOCK, OVERLAP = 256, 64
 #: Members of a neighbourhood that are compared at a time; larger neighbourhoods are split.
 GROUP = 64
 ROUNDS, GAIN = 4, 0.002
-EXACT_BLOCK = 512
+#: Vectors of a component that are compared in one task: up to eight blocks of 64 or more, then blocks of EXACT_BLOCK.
+SMALL_BLOCK, EXACT_BLOCK = 64, 1024
 AUDITED, RECALL, SEARCHES = 300, 0.97, 2
 
 
@@ -223,7 +224,7 @@ def _verified(graph: DataFrame, units: DataFrame) -> DataFrame:
 def _count_links(members: DataFrame) -> DataFrame:
     """(id, links): exact links of ``members(id, component, copies, exact)`` within their components."""
     sized = members.join(members.groupBy("component").agg(F.count("*").alias("size")), "component")
-    blocks = F.expr(f"cast((size + {EXACT_BLOCK - 1}) div {EXACT_BLOCK} as int)")
+    blocks = F.expr(f"cast(greatest((size + {EXACT_BLOCK - 1}) div {EXACT_BLOCK}, least(8, (size + {SMALL_BLOCK - 1}) div {SMALL_BLOCK})) as int)")
     own = sized.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # small components share tasks, large ones have a task for each pair of blocks
