@@ -78,3 +78,13 @@ def test_documents_with_odd_rows(spark):
     assert by[9][2] == by[4][2] == 4 and by[8][2] == by[6][2] == by[None][2] == 6 and by[8][1] == "0" * 16 and by[2][2] == by[1][2] == 1 and by[3][2] == 3
     assert sorted(r["doc_id"] for r in simhash.one_of_each(df).collect()) == [1, 3, 4, 6]
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_unlike_documents_under_one_id_stay(spark):
+    texts = [f"{w} stands alone among the documents of this small table" for w in ("first", "second", "third", "fourth")]
+    texts = [f"{t} {' '.join(str(k * n) for n in range(20))}" for k, t in enumerate(texts, 3)]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (None, texts[1]), (8, texts[3])]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, other int").repartition(3)
+    got = simhash.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got.collect()) == sorted([(0, texts[0]), (0, texts[1]), (7, texts[2]), (7, texts[3])])

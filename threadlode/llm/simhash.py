@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlode.llm.common import components, map_batches
@@ -47,15 +47,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp as a signed long; a null text counts as empty."""
+def fingerprints(docs: DataFrame, *others: str) -> DataFrame:
+    """(doc_id, fp, *others): fp as a signed long; a null text counts as empty. ``others`` are columns of longs."""
 
     def run(batches):
         for batch in batches:
             fps = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(fps), *(batch.column(x) for x in others)], ["doc_id", "fp", *others])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp long")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *others), run, ", ".join(f"{x} long" for x in ("doc_id", "fp", *others)))
 
 
 def _root(parent: np.ndarray, a: np.ndarray) -> np.ndarray:
@@ -180,21 +180,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return label_documents(rows)
 
 
-def label_documents(rows: DataFrame) -> DataFrame:
+def _named(rows: DataFrame) -> DataFrame:
+    """(fp, group, component_id) of each fingerprint; ``group`` tells components apart that have no doc_id but null."""
     least = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "least-ids")
     joined = materialize(fingerprint_components(rows), "fp-components")
     tops = least.join(joined, "fp").groupBy("component").agg(F.min("least").alias("top"))
-    named = materialize(joined.join(tops, "component").select("fp", "top"), "fp-names")
-    ids = materialize(least.join(named, "fp", "left").select("fp", F.coalesce("top", "least").alias("component_id")), "fp-ids")
-    return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = materialize(joined.join(tops, "component").select("fp", "component", "top"), "fp-names")
+    of = least.join(named, "fp", "left")
+    return materialize(of.select("fp", F.coalesce("component", "fp").alias("group"), F.coalesce("top", "least").alias("component_id")), "fp-ids")
+
+
+def label_documents(rows: DataFrame) -> DataFrame:
+    return rows.join(_named(rows), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their group of near duplicates: one row a group, that with its smallest doc_id."""
-    names = materialize(near_duplicates(docs), "near-duplicates")
-    tops = names.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_d")).agg(F.count("*").alias("_n"))
-    kept = docs.join(tops, docs["doc_id"].eqNullSafe(F.col("_d")), "left_semi")
-    if tops.where("_n > 1").limit(1).count():
-        first = Window.partitionBy("doc_id").orderBy("text")
-        kept = kept.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
-    return kept.select(*docs.columns)
+    """The rows of ``docs`` that stand for their group of near duplicates: one row a group, that with its smallest
+    doc_id; of rows that share it, the one with the least text."""
+    keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed-documents")
+    rows = materialize(fingerprints(keyed, "_row"), "doc-fingerprints")
+    named = rows.join(_named(rows), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    tops = materialize(named.groupBy("group").agg(F.count("*").alias("n"), F.min("_row").alias("_row")), "group-tops")
+    kept = tops.where("n = 1").select("_row")
+    if tops.where("n > 1").limit(1).count():
+        tied = named.join(tops.where("n > 1").select("group"), "group").select("group", "_row")
+        first = tied.join(keyed.select("_row", "text"), "_row").groupBy("group").agg(F.min(F.struct("text", "_row")).alias("x"))
+        kept = kept.union(first.select("x._row"))
+    return keyed.join(kept, "_row", "left_semi").select(*docs.columns)
