@@ -57,3 +57,22 @@ def test_against_brute_force(spark):
 def test_empty_and_single(spark):
     assert neighbours.near_vectors(_table(spark, [])).count() == 0
     assert [tuple(x) for x in neighbours.near_vectors(_table(spark, [(5, [1.0, 2.0], 1)])).collect()] == [(5, 0, 5, True)]
+
+
+def test_links_between_tight_groups(spark):
+    r = np.random.default_rng(2)
+
+    def unit(v):
+        return v / np.linalg.norm(v)
+
+    rows = []
+    for label in range(3):
+        one = unit(r.standard_normal(64))
+        side = r.standard_normal(64)
+        two = unit(0.95 * one + np.sqrt(1 - 0.95**2) * unit(side - (side @ one) * one))
+        for centre in (one, two):  # cosine 0.999 inside, 0.95 across
+            rows += [(unit(centre + 0.032 * unit(r.standard_normal(64))), label) for _ in range(100)]
+        rows += [(unit(r.standard_normal(64)), label) for _ in range(50)]
+    rows = [(k, [float(np.float32(x)) for x in v], label) for k, (v, label) in enumerate(rows)]
+    got = sorted(tuple(x) for x in neighbours.near_vectors(_table(spark, rows)).collect())
+    assert got == _brute(rows)

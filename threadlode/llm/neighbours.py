@@ -5,8 +5,9 @@ is refined in rounds: around every vector its neighbours, and those that have it
 and each keeps the best it meets. Where a whole list lies above the threshold (a saturated list), it is enlarged.
 Rounds end when the lists hardly improve. Edges above the threshold, verified in double precision, give components.
 
-Groups too dense for any list are settled exactly: within each component all links are counted in blocks, so counts
-don't depend on the lists' lengths and no pair is ever written. Recall is audited against brute force for a fixed number
+Groups too dense for any list are settled exactly: vectors whose enlarged list is saturated as well are compared with all
+others of their label that lie near enough to their group's centre, so that links to other components are found; within
+each component all links are counted in blocks, so counts don't depend on the lists' lengths and no pair is ever written. Recall is audited against brute force for a fixed number
 of vectors; if it falls short, the search runs again from further projections and adds to the graph.
 """
 
@@ -32,6 +33,8 @@ GROUP = 64
 ROUNDS, GAIN = 4, 0.002
 #: Vectors of a component that are compared in one task: up to eight blocks of 64 or more, then blocks of EXACT_BLOCK.
 SMALL_BLOCK, EXACT_BLOCK = 64, 1024
+#: Dense vectors of a cell, centres of cells and vectors that are compared in one task to find links across components.
+CELL, CENTRES, ACROSS = 512, 2048, 8192
 AUDITED, RECALL, SEARCHES = 300, 0.97, 2
 
 
@@ -174,8 +177,10 @@ def _lists(edges: DataFrame) -> DataFrame:
     once = edges.repartition("a").groupBy("a", "b").agg(F.max("sim").alias("sim"))
     best = once.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("sim", "b")), asc=False).alias("l"))
     full = F.coalesce(F.get("l", F.lit(LIST - 1))["sim"], F.lit(-1.0)) >= THRESHOLD - SLACK
-    best = best.withColumn("l", F.slice("l", 1, F.when(full, F.lit(ENLARGED)).otherwise(F.lit(LIST))))
-    return best.select("a", F.explode("l").alias("x"), F.when(F.size("l") >= LIST, F.element_at("l", -1)["sim"]).otherwise(F.lit(-1.0)).cast("float").alias("least")).select("a", "x.b", "x.sim", "least")
+    best = best.withColumn("l", F.slice("l", 1, F.when(full, F.lit(ENLARGED)).otherwise(F.lit(LIST)))).withColumn("full", full)
+    # an enlarged list that has room takes whatever is above the threshold
+    room = F.when(F.size("l") < LIST, F.lit(-1.0)).when(F.col("full") & (F.size("l") < ENLARGED), F.lit(THRESHOLD - SLACK))
+    return best.select("a", F.explode("l").alias("x"), room.otherwise(F.element_at("l", -1)["sim"]).cast("float").alias("least")).select("a", "x.b", "x.sim", "least")
 
 
 def descend(units: DataFrame, seed: int, known: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
@@ -221,6 +226,92 @@ def _verified(graph: DataFrame, units: DataFrame) -> DataFrame:
     return with_x.join(units.select(F.col("id").alias("b"), F.col("exact").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(exact, "a long, b long")
 
 
+def _saturated(graph: DataFrame) -> DataFrame:
+    """(id) of vectors whose list is enlarged and full: they may have links that no list holds."""
+    return graph.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"), F.min("sim").alias("low")).where((F.col("n") >= ENLARGED) & (F.col("low") >= THRESHOLD - SLACK)).select("id")
+
+
+def _across(members: DataFrame, dense: DataFrame) -> DataFrame:
+    """Edges (a, b) that link components: for each vector of ``dense(id)`` and each component that has a link with it,
+    one edge at least from that component to its own. ``members(id, label, component, exact)``.
+
+    Dense vectors are dealt into cells by component. A vector can only link with a cell whose centre is within the cell's
+    radius and the threshold's angle, so cells' centres are compared with all vectors of the label first, both in blocks.
+    """
+    all_ = members.select("id", "label", F.length("exact").alias("dims"), "component", "exact")
+    own = all_.join(dense, "id")
+    sized = own.join(own.groupBy("label", "dims", "component").agg(F.count("*").alias("size")), ["label", "dims", "component"])
+    cell = F.pmod(F.xxhash64("id"), F.expr(f"size div {CELL} + 1")).cast("int")
+    cells = materialize(sized.withColumn("cell", cell).drop("size"), "dense-cells")
+
+    def centre(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (label, dims, component, cell), g in pdf.groupby(["label", "dims", "component", "cell"], sort=False):
+            v = _vectors(g["exact"].tolist())
+            c = v.sum(0)
+            size = np.sqrt(c @ c)
+            c = c / size if size > 1e-9 else v[0]
+            angle = np.arccos(np.clip((v @ c).min(), -1, 1)) + np.arccos(THRESHOLD)
+            out.append((label, dims, component, cell, c.tobytes(), float(np.cos(min(np.pi, angle))) - 1e-7))
+        return pd.DataFrame(out, columns=["label", "dims", "component", "cell", "exact", "reach"])
+
+    task = F.pmod(F.xxhash64("component", "cell"), F.lit(4096))
+    centres = materialize(cells.withColumn("task", task).groupBy("task").applyInPandas(centre, "label long, dims int, component long, cell int, exact binary, reach double"), "cell-centres")
+    keys = ["label", "dims"]
+    blocks = centres.groupBy(*keys).agg(F.expr(f"count(*) div {CENTRES} + 1").alias("centre_blocks"))
+    blocks = blocks.join(all_.groupBy(*keys).agg(F.expr(f"count(*) div {ACROSS} + 1").alias("blocks")), keys)
+    x = centres.join(blocks, keys).withColumn("cb", F.pmod(F.xxhash64("component", "cell"), F.col("centre_blocks"))).withColumn("vb", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    y = all_.join(blocks, keys).withColumn("vb", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("cb", F.explode(F.expr("sequence(0L, centre_blocks - 1)")))
+    at = [*keys, "cb", "vb"]
+
+    def near(c: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(c) and len(v):
+            centres, reach, whose = _vectors(c["exact"].tolist()), c["reach"].to_numpy(), c["component"].to_numpy()
+            for k in range(0, len(v), 1024):
+                part = v.iloc[k : k + 1024]
+                i, j = np.nonzero((_vectors(part["exact"].tolist()) @ centres.T >= reach) & (part["component"].to_numpy()[:, None] != whose))
+                out.append(pd.DataFrame({"component": whose[j], "cell": c["cell"].to_numpy()[j], "id": part["id"].to_numpy()[i]}))
+        return pd.concat(out) if out else pd.DataFrame({"component": [], "cell": [], "id": []})
+
+    met = x.select(*at, "component", "cell", "exact", "reach").groupBy(*at).cogroup(y.select(*at, "id", "component", "exact").groupBy(*at))
+    met = materialize(met.applyInPandas(near, "component long, cell int, id long"), "cells-met")
+    parts = met.groupBy("component", "cell").agg(F.expr(f"count(*) div {ACROSS} + 1").alias("parts"))
+    others = met.join(parts, ["component", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
+    others = others.join(all_.select("id", F.col("component").alias("other"), "exact"), "id")
+    mine = cells.join(parts, ["component", "cell"]).withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)")))
+    at2 = ["component", "cell", "part"]
+
+    def link(s: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"a": [], "b": []})]
+        if len(s) and len(v):
+            ids, mine = s["id"].to_numpy(), _vectors(s["exact"].tolist())
+            for k in range(0, len(v), 1024):
+                part = v.iloc[k : k + 1024]
+                sims = _vectors(part["exact"].tolist()) @ mine.T
+                best = sims.argmax(1)
+                good = sims[np.arange(len(part)), best] >= THRESHOLD
+                out.append(pd.DataFrame({"a": part["id"].to_numpy(), "b": ids[best], "other": part["other"].to_numpy()})[good])
+        found = pd.concat(out)
+        return found.drop_duplicates("other")[["a", "b"]] if "other" in found else found
+
+    return mine.select(*at2, "id", "exact").groupBy(*at2).cogroup(others.select(*at2, "id", "other", "exact").groupBy(*at2)).applyInPandas(link, "a long, b long")
+
+
+def _joined(graph: DataFrame, units: DataFrame) -> DataFrame:
+    """(node, component) over the graph's links, and over those that its saturated lists have no room for."""
+    edges = materialize(_verified(graph, units), "near-edges")
+    joined = materialize(components(edges), "vector-components")
+    dense = materialize(_saturated(graph), "saturated")
+    if dense.limit(1).count() == 0:
+        return joined
+    members = units.join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", "label", F.coalesce("component", "id").alias("component"), "exact")
+    more = materialize(_across(members, dense), "edges-across")
+    if more.limit(1).count() == 0:
+        return joined
+    return materialize(components(edges.union(more)), "vector-components")
+
+
 def _count_links(members: DataFrame) -> DataFrame:
     """(id, links): exact links of ``members(id, component, copies, exact)`` within their components."""
     sized = members.join(members.groupBy("component").agg(F.count("*").alias("size")), "component")
@@ -290,7 +381,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     graph, joined, counted = None, None, None
     for search in range(SEARCHES):
         graph = descend(units, 11 + search, graph)
-        joined = materialize(components(_verified(graph, units)), "vector-components")
+        joined = _joined(graph, units)
         counted = materialize(_count_links(units.join(joined.withColumnRenamed("node", "id"), "id").select("id", "component", "copies", "exact")), "links")
         if audit(units, counted) >= RECALL:
             break
