@@ -76,3 +76,29 @@ def test_links_between_tight_groups(spark):
     rows = [(k, [float(np.float32(x)) for x in v], label) for k, (v, label) in enumerate(rows)]
     got = sorted(tuple(x) for x in neighbours.near_vectors(_table(spark, rows)).collect())
     assert got == _brute(rows)
+
+
+def test_all_are_compared_where_searches_fall_short(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    rows = []
+    for k in range(120):
+        v = r.standard_normal(16)
+        rows += [(v + 0.02 * r.standard_normal(16), k % 2) for _ in range(1 + (k % 3 == 0))]
+    rows = [(k, [float(np.float32(x)) for x in v], label) for k, (v, label) in enumerate(rows)]
+    search = neighbours.descend
+    monkeypatch.setattr(neighbours, "descend", lambda units, *_: search(units, 1, rounds=0).where("false"))
+    got = sorted(tuple(x) for x in neighbours.near_vectors(_table(spark, rows)).collect())
+    assert got == _brute(rows)
+
+
+def test_audit_sees_sparse_vectors_beside_a_dense_group(spark):
+    r = np.random.default_rng(4)
+    one = r.standard_normal(16)
+    vectors = [one + 0.01 * r.standard_normal(16) for _ in range(60)]
+    for _ in range(20):
+        v = r.standard_normal(16)
+        vectors += [v + 0.01 * r.standard_normal(16) for _ in range(2)]
+    units = [(k, 0, 1, (v / np.linalg.norm(v)).tobytes()) for k, v in enumerate(vectors)]
+    units = spark.createDataFrame(units, "id long, label long, copies long, exact binary")
+    counted = spark.createDataFrame([(k, 59) for k in range(60)], "id long, links long")  # no pair's link
+    assert neighbours.audit(units, counted) < neighbours.RECALL
