@@ -3,12 +3,11 @@
 Format of a file: one Arrow IPC stream of record batches with the columns
 
 * ``input_ids``: fixed_size_list<uint16 or uint32>[length], padded with 0,
-* ``attention_mask``: fixed_size_list<bool>[length], true where there is a token,
-* ``document_end``: fixed_size_list<bool>[length], true at each document's last token.
+* ``attention_mask``: fixed_size_list<uint8>[length], 1 where there is a token.
 
 All batches but the last hold ``rows_per_batch`` sequences, so sequence i is row i % rows_per_batch of batch
-i // rows_per_batch, and its ids are a slice of the mapped file: no copy. The schema's metadata hold the file's place
-in the order of all files and its documents' ids. A document lies in one file and may span sequences; only a file's
+i // rows_per_batch, and its ids and mask are slices of the mapped file: no copy. The schema's metadata hold the file's
+place in the order of all files, its documents' ids and how many tokens each has. A document lies in one file and may span sequences; only a file's
 last sequence has padding. A line end follows the stream's end mark; readers stop at that mark.
 
 Files are written by Spark's own text writer (one row, one file), hence through its commit protocol and to any store
@@ -40,12 +39,11 @@ def stream_bytes(ids: np.ndarray, counts: list[int], doc_ids: list, part: int, c
     n = max(1, -(-len(ids) // length))
     padded = np.zeros(n * length, ids.dtype)
     padded[: len(ids)] = ids
-    mask, end = np.zeros(n * length, bool), np.zeros(n * length, bool)
-    mask[: len(ids)] = True
-    end[np.cumsum([c for c in counts if c])[: len(counts)] - 1] = True
-    columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), length) for x in (padded, mask, end)]
-    meta = {"part": str(part), "chunk": str(chunk), "tokens": str(len(ids)), "rows_per_batch": str(rows), "doc_ids": json.dumps(doc_ids)}
-    schema = pa.schema([(k, c.type) for k, c in zip(("input_ids", "attention_mask", "document_end"), columns, strict=True)], metadata=meta)
+    mask = np.zeros(n * length, np.uint8)
+    mask[: len(ids)] = 1
+    columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), length) for x in (padded, mask)]
+    meta = {"part": str(part), "chunk": str(chunk), "tokens": str(len(ids)), "rows_per_batch": str(rows), "doc_ids": json.dumps(doc_ids), "doc_tokens": json.dumps(counts)}
+    schema = pa.schema([(k, c.type) for k, c in zip(("input_ids", "attention_mask"), columns, strict=True)], metadata=meta)
     out = pa.BufferOutputStream()
     with pa.ipc.new_stream(out, schema) as sink:
         sink.write_table(pa.table(columns, schema=schema), max_chunksize=rows)
@@ -53,36 +51,36 @@ def stream_bytes(ids: np.ndarray, counts: list[int], doc_ids: list, part: int, c
 
 
 class TokenFile:
-    """Random access to one file's sequences without copying ids: ``TokenFile(pa.memory_map(path))`` or bytes."""
+    """Random access to one file's sequences without copying ids or masks: ``TokenFile(pa.memory_map(path))`` or bytes."""
 
     def __init__(self, source):
         reader = pa.ipc.open_stream(source)
         self.meta = {k.decode(): v.decode() for k, v in reader.schema.metadata.items()}
         self.batches = list(reader)
         self.rows = int(self.meta["rows_per_batch"])
-        self.doc_ids = json.loads(self.meta["doc_ids"])
+        self.doc_ids, self.doc_tokens = json.loads(self.meta["doc_ids"]), json.loads(self.meta["doc_tokens"])
 
     def __len__(self) -> int:
         return sum(b.num_rows for b in self.batches)
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (a view of the file) and mask of sequence ``i``."""
+        """Ids and mask of sequence ``i``, both views of the file."""
         batch = self.batches[i // self.rows]
-        ids, mask = batch.column(0)[i % self.rows].values, batch.column(1)[i % self.rows].values
-        return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
+        ids, mask = (batch.column(k)[i % self.rows].values.to_numpy(zero_copy_only=True) for k in range(2))
+        return ids, mask
 
     def documents(self):
         """(doc_id, ids) in the file's order."""
-        flat = [np.concatenate([b.column(k).flatten().to_numpy(zero_copy_only=False) for b in self.batches]) for k in range(3)]
-        ids, ends = flat[0][flat[1]], np.flatnonzero(flat[2]) + 1
-        yield from zip(self.doc_ids, np.split(ids, ends[:-1]), strict=True) if self.doc_ids else ()
+        ids, mask = (np.concatenate([b.column(k).flatten().to_numpy() for b in self.batches]) for k in range(2))
+        yield from zip(self.doc_ids, np.split(ids[mask > 0], np.cumsum(self.doc_tokens)[:-1]), strict=True) if self.doc_ids else ()
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, length: int = 1024, vocabulary_file: str | None = None, file_tokens: int = FILE_TOKENS) -> None:
     """Write the ids of all texts of ``docs(doc_id, text)`` in ascending doc_id order, ``end_id`` after each document.
 
     A null text counts as empty (its end id alone); null doc_ids come first; rows with equal doc_ids are ordered by
-    text and all kept. Other columns are ignored. An empty table gives no file.
+    their text's hash and all kept, and may be dealt over many tasks, as may wholly equal rows. Other columns are
+    ignored. An empty table gives no file.
     """
     keep_space = vocabulary.startswith("byte")
 
@@ -108,8 +106,11 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49
         if held:
             yield pa.record_batch([[stream_bytes(np.concatenate(held), counts, doc_ids, part, chunk, length)]], ["payload"])
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", "hashed", "row"]
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("hashed"), F.monotonically_increasing_id().alias("row"))
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     files = map_batches(ordered, encode, "payload binary")
+    # the text writer puts a row's bytes out as they are: a string isn't validated (tests read the files back)
     files.select(F.col("payload").cast("string")).write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
