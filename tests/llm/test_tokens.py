@@ -29,10 +29,30 @@ def test_ids_are_the_librarys(name, texts):
 def test_null_counts_as_empty_and_memory_starts_anew(monkeypatch):
     from threadlode.llm import tokens
 
-    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 3)
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 600)
     coder = Chunker(vocabulary_path("byte_bpe_50k.json"), True)
     texts = ["one two three", None, "", "four five six seven", "one two"]
-    for _ in range(2):
+    for _ in range(6):
         flat, counts = coder.batch(pa.array(texts, pa.string()))
         assert list(flat) == [x for t in texts for x in coder.whole(t or "")]
         assert counts[1] == counts[2] == 0
+        assert coder.bytes <= 600 + 200
+
+
+@pytest.mark.parametrize("name", CODERS)
+def test_memory_is_bounded_in_bytes(name, monkeypatch):
+    """Long chunks are never kept, others from their second batch on and within the bound."""
+    import sys
+
+    from threadlode.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 1 << 20)
+    coder = Chunker(vocabulary_path(name), name.startswith("byte"))
+    for k in range(12):
+        words = [f"w{chr(97 + j % 26)}{chr(97 + j // 26 % 26)}{chr(97 + j // 676 % 26)}{'xyz'[k // 4]}" for j in range(9000)]
+        coder.batch(pa.array([" ".join(words), "z" * 200_000, "q" * 49, "once" + "abcdefghijkl"[k]], pa.string()))
+        held = sys.getsizeof(coder.number) + sum(map(sys.getsizeof, coder.number)) + 32 * len(coder.number) + sum(sys.getsizeof(x) for x in (coder.pool, coder.starts, coder.sizes))
+        assert held < 1.5 * (1 << 20) and coder.bytes <= (1 << 20) + 400
+        assert max(map(len, coder.number), default=0) <= tokens.CACHE_CHARS
+        assert not any(c.strip().startswith("once") and len(c) > 6 for c in coder.number)
+    assert coder.number

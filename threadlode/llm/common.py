@@ -12,8 +12,6 @@ from threadlode.session import materialize
 
 #: Text that one call of a worker's function holds at a time.
 BATCH_BYTES = 6 << 20
-#: Rows that the JVM hands to a worker at a time; below Spark's default, as documents may be very long.
-ARROW_ROWS = 1000
 
 
 def bounded(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -25,23 +23,23 @@ def bounded(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Itera
             yield batch.slice(at, step)
 
 
-def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` over bounded batches."""
+def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, most: int = BATCH_BYTES) -> DataFrame:
+    """``mapInArrow`` over batches of about ``most`` bytes."""
 
     def run(batches):
-        yield from f(bounded(batches))
+        yield from f(bounded(batches, most))
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return df.mapInArrow(run, schema)
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows (node, component) with the smallest node reachable.
 
     Every round takes each node to the smallest label next to it, lets that label's old root follow, and then halves
     the paths. All joins are plain equi-joins of written tables, so that Spark can split a hot key; minima are
     partly aggregated before they are shuffled. Nothing but one count per round reaches the driver.
-    Nodes without edges are not returned; an edge with a null end is dropped.
+    Nodes without edges are not returned; an edge with a null end is dropped. Paths halve each round, so rounds grow with
+    the logarithm of the nodes; should ``most_rounds`` not do, an error is raised and no unfinished label returned.
     """
     edges = edges.where("a is not null and b is not null and a <> b").select("a", "b")
     both = materialize(edges.union(edges.select("b", "a")).distinct(), "edges")
@@ -56,4 +54,6 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         if labels.where("moved").limit(1).count() == 0:
             break
         labels = labels.drop("moved")
+    else:
+        raise RuntimeError(f"components unfinished after {most_rounds} rounds")
     return labels.select("node", "component")

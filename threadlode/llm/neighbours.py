@@ -378,8 +378,6 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     vectors link like any others and are handled once. Rows that repeat a vec_id are vectors each. A null vec_id takes
     part but is no component's id unless all its members' are null. An empty table gives no rows.
     """
-    spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
     rows = materialize(vectors.select("vec_id", F.col("label").cast("long").alias("label"), "embedding").withColumn("row", F.monotonically_increasing_id()), "vectors")
     ok = usable(rows)
     same = ok.groupBy("label", "embedding").agg(F.min("row").alias("id"), F.count("*").alias("copies"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadlode.llm.common import map_batches
-from threadlode.llm.tokens import vocabulary_path, worker_chunker
+from threadlode.llm.tokens import TOKEN_BYTES, vocabulary_path, worker_chunker
 from threadlode.session import materialize
 
 CAPACITY = 1024
@@ -73,7 +73,7 @@ def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int =
             columns = [np.full(len(length), part), length, rank, batch.column("doc_id").take(pa.array(of)), start, length, crc, tokens[of]]
             yield pa.record_batch([pa.array(c).cast(t) for c, t in zip(columns, [pa.int32()] * 2 + [pa.int64()] * 6, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
 
-    return map_batches(docs.select("doc_id", "text"), cut, PIECES)
+    return map_batches(docs.select("doc_id", "text"), cut, PIECES, TOKEN_BYTES)
 
 
 def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, **options) -> DataFrame:

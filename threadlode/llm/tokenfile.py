@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadlode.llm.common import map_batches
-from threadlode.llm.tokens import vocabulary_path, worker_chunker
+from threadlode.llm.tokens import TOKEN_BYTES, vocabulary_path, worker_chunker
 from threadlode.session import materialize, work_path
 
 #: Ids in a file, from which on the next document begins another.
@@ -109,7 +109,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49
     order = ["doc_id", "hashed", "row"]
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("hashed"), F.monotonically_increasing_id().alias("row"))
     ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    files = map_batches(ordered, encode, "payload binary")
+    files = map_batches(ordered, encode, "payload binary", TOKEN_BYTES)
     # the text writer puts a row's bytes out as they are: a string isn't validated (tests read the files back)
     files.select(F.col("payload").cast("string")).write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 

@@ -12,15 +12,22 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct chunks that a worker remembers (some 170 bytes each); beyond it the memory is started anew.
-CACHE_ENTRIES = 700_000
+#: What a worker's memory of chunks may take; beyond it the memory is started anew.
+CACHE_BYTES = 24 << 20
+#: What an entry takes besides its characters and ids: string, number, their places in the table and two offsets.
+ENTRY_BYTES = 160
 #: Chunks longer than this are encoded but not remembered.
 CACHE_CHARS = 48
+#: Marks of chunks met before; a chunk is remembered from its second batch on, as most chunks occur only once.
+MARKS = 1 << 20
+#: Text that is tokenized at a time; what a batch takes besides is some 20 times that.
+TOKEN_BYTES = 2 << 20
 
 #: Letters for which the short way is taken; chunks with characters outside ASCII and these go to the library whole.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -70,6 +77,7 @@ class Chunker:
     def _clear(self) -> None:
         self.number: dict[str, int] = {}
         self.pool, self.starts, self.sizes = array("i"), array("q"), array("q")
+        self.bytes, self.met = 0, bytearray(MARKS)
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -92,14 +100,35 @@ class Chunker:
             out += [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
         return out
 
-    def _learn(self, chunks) -> None:
-        number, starts, sizes, pool = self.number, self.starts, self.sizes, self.pool
-        for chunk in chunks:
-            ids = self._chunk(chunk)
-            number[chunk] = len(starts)
-            starts.append(len(pool))
-            sizes.append(len(ids))
-            pool.extend(ids)
+    def _look_up(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, and where in it each of the distinct ``chunks`` starts and how many ids it has."""
+        if self.bytes > CACHE_BYTES:
+            self._clear()
+        at = np.fromiter(map(self.number.get, chunks, repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(at < 0)
+        pool, ends = array("i"), array("q", [0])
+        for k in new.tolist():
+            pool.extend(self._chunk(chunks[k]))
+            ends.append(len(pool))
+        known, edges = at >= 0, np.array(ends)
+        starts, sizes = np.empty(len(chunks), np.int64), np.empty(len(chunks), np.int64)
+        starts[known], sizes[known] = np.frombuffer(self.starts, np.int64)[at[known]], np.frombuffer(self.sizes, np.int64)[at[known]]
+        starts[new], sizes[new] = edges[:-1] + len(self.pool), np.diff(edges)
+        every = np.concatenate([np.frombuffer(self.pool, np.int32), np.frombuffer(pool, np.int32)])
+        for k, a, b in zip(new.tolist(), ends, ends[1:], strict=False):
+            self._remember(chunks[k], pool[a:b])
+        return every, starts, sizes
+
+    def _remember(self, chunk: str, ids: array) -> None:
+        mark = hash(chunk) % MARKS
+        if len(chunk) > CACHE_CHARS or self.bytes > CACHE_BYTES or not self.met[mark]:
+            self.met[mark] = 1
+            return
+        self.number[chunk] = len(self.starts)
+        self.starts.append(len(self.pool))
+        self.sizes.append(len(ids))
+        self.pool.extend(ids)
+        self.bytes += ENTRY_BYTES + 2 * len(chunk) + 4 * len(ids)
 
     def ids(self, text: str) -> np.ndarray:
         if not text:
@@ -113,18 +142,9 @@ class Chunker:
             chunks = [first, *[" " + p for p in rest]] if first else [" " + p for p in rest]
         else:
             chunks = text.replace("\n", " ").split(" ")
-        missing = set(chunks).difference(self.number)
-        if missing:
-            if max(map(len, missing)) > CACHE_CHARS:
-                return np.array([x for c in chunks for x in self._chunk(c)], np.int32)
-            if len(self.number) > CACHE_ENTRIES:
-                self._clear()
-                missing = set(chunks)
-            self._learn(missing)
-        at = np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
-        starts, sizes = np.frombuffer(self.starts, np.int64)[at], np.frombuffer(self.sizes, np.int64)[at]
-        ends = np.cumsum(sizes)
-        return np.frombuffer(self.pool, np.int32)[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1])] if ends[-1] else np.zeros(0, np.int32)
+        place = {c: k for k, c in enumerate(dict.fromkeys(chunks))}
+        pool, starts, sizes = self._look_up(list(place))
+        return _taken(pool, starts, sizes, np.fromiter(map(place.__getitem__, chunks), np.int64, len(chunks)))[0]
 
     def _prepared(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """Lists of chunks for each text, and which texts have to be encoded one by one."""
@@ -149,15 +169,7 @@ class Chunker:
         lists, alone = self._prepared(texts)
         coded = lists.flatten().dictionary_encode()
         chunks = pc.replace_substring(coded.dictionary, "\x02", " ").to_pylist() if self.keep_space else coded.dictionary.to_pylist()
-        if len(self.number) + len(chunks) > CACHE_ENTRIES:
-            self._clear()
-        self._learn(set(chunks).difference(self.number))
-        known = np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
-        at = known[coded.indices.to_numpy(zero_copy_only=False)] if len(chunks) else np.zeros(0, np.int64)
-        starts, sizes = np.frombuffer(self.starts, np.int64)[at], np.frombuffer(self.sizes, np.int64)[at]
-        ends = np.cumsum(sizes)
-        take = np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
-        flat = np.frombuffer(self.pool, np.int32)[take] if len(take) else np.zeros(0, np.int32)
+        flat, ends = _taken(*self._look_up(chunks), coded.indices.to_numpy(zero_copy_only=False))
         edges = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         counts = np.diff(edges)
         if alone.any():
@@ -168,7 +180,15 @@ class Chunker:
         return flat, counts
 
 
+def _taken(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the chunks ``at``, end to end, and where each chunk ends."""
+    starts, sizes = starts[at], sizes[at]
+    ends = np.cumsum(sizes)
+    n = int(ends[-1]) if len(ends) else 0
+    return pool[np.repeat(starts - ends + sizes, sizes) + np.arange(n)] if n else np.zeros(0, np.int32), ends
+
+
 @lru_cache(maxsize=1)
 def worker_chunker(path: str, keep_space: bool) -> Chunker:
-    """The worker's own coder: its memory of words outlives a task, as Spark uses a worker for many."""
+    """The worker's own coder: its memory of words, at most CACHE_BYTES, outlives a task, as Spark uses a worker for many."""
     return Chunker(path, keep_space)
