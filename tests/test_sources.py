@@ -28,7 +28,7 @@ def test_logs(spark, tmp_path):
         line(type="user", isSidechain=True, message={"role": "user", "content": "side"}),
     ]))
     (tmp_path / "side.jsonl").write_text(line(type="user", isSidechain=True, message={"role": "user", "content": "side"}))
-    (tmp_path / "judge.jsonl").write_text(line(type="user", message={"role": "user", "content": "  You are a judge now"}))
+    (tmp_path / "judge.jsonl").write_text(line(type="user", message={"role": "user", "content": "<system-reminder>a</system-reminder>  You are a judge now"}))
     got = _rows(transcripts.read_logs(spark, str(tmp_path), source="cli", markers=("You are a judge",)))
     assert [*got] == ["cli:one"]
     assert [m["text"] for m in got["cli:one"]["messages"]][1] == "a\nb" and got["cli:one"]["title"] == "a\nb" and got["cli:one"]["ended_at"].second == 9
@@ -53,7 +53,7 @@ def test_stores(spark, tmp_path):
     con = sqlite3.connect(tmp_path / "a.vscdb")
     con.execute("create table ItemTable (key text, value blob)")
     con.execute("create table cursorDiskKV (key text, value blob)")
-    con.execute("insert into ItemTable values (?, ?)", ("workbench.panel.aichat.view", json.dumps({"tabs": [{"tabId": "t1", "chatTitle": "C", "bubbles": [{"type": "user", "text": "hi"}, {"type": "ai", "text": "yo"}]}]})))
+    con.execute("insert into ItemTable values (?, ?)", ("workbench.panel.aichat.view.aichat.chatdata", json.dumps({"tabs": [{"tabId": "t1", "chatTitle": "C", "bubbles": [{"type": "user", "text": "hi"}, {"type": "ai", "text": "yo"}]}]})))
     con.execute("insert into ItemTable values ('ui.state', '{}')")
     con.execute("insert into cursorDiskKV values (?, ?)", ("composerData:c1", json.dumps({"composerId": "c1", "fullConversationHeadersOnly": [{"bubbleId": "b2", "type": 1}, {"bubbleId": "b1", "type": 2}]})))
     con.execute("insert into cursorDiskKV values (?, ?)", ("bubbleId:c1:b1", json.dumps({"text": "second"})))
@@ -62,7 +62,7 @@ def test_stores(spark, tmp_path):
     con.commit()
     (tmp_path / "bad.vscdb").write_text("not a database")
     kv = keyvalue.read_stores(spark, spark.createDataFrame([(str(tmp_path / n),) for n in ("a.vscdb", "bad.vscdb", "none.vscdb")], "path string"))
-    tabs, composers = _rows(keyvalue.best_of(keyvalue.generic_sessions(kv, "ed"))), _rows(keyvalue.best_of(keyvalue.composer_sessions(kv, "ed")))
+    tabs, composers = _rows(keyvalue.best_of(keyvalue.generic_sessions(kv, "ed", keyvalue.FLAVOURS["cursor"][1]))), _rows(keyvalue.best_of(keyvalue.composer_sessions(kv, "ed")))
     assert [*tabs] == ["ed:t1"] and [(m["role"], m["text"]) for m in tabs["ed:t1"]["messages"]] == [("user", "hi"), ("assistant", "yo")]
     assert [*composers] == ["ed:c1"] and [(m["role"], m["text"]) for m in composers["ed:c1"]["messages"]] == [("user", "first"), ("assistant", "second")]
 
@@ -76,3 +76,51 @@ def test_stream_replaces_by_key(spark, tmp_path):
         put(name, *texts)
         ingest_stream(spark, str(tmp_path / "in"), table, str(tmp_path / "cp")).awaitTermination()
     assert {r["native_id"]: r["messages"][0]["text"] for r in table.current().collect()} == {"1": "x", "2": "z", "3": "w"}
+
+
+def _store(path, rows):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    con = sqlite3.connect(path)
+    con.execute("create table ItemTable (key text, value blob)")
+    con.execute("create table cursorDiskKV (key text, value blob)")
+    for table, key, value in rows:
+        con.execute(f"insert into {table} values (?, ?)", (key, json.dumps(value) if not isinstance(value, str) else value))
+    con.commit()
+    con.close()
+
+
+def test_editors_are_found_and_read(spark, tmp_path):
+    home = tmp_path / "home"
+    say = lambda *t: [{"type": "user", "text": x} for x in t]
+    chat = "workbench.panel.aichat.view.aichat.chatdata"
+    _store(home / ".config/Cursor/User/workspaceStorage/w1/state.vscdb", [("ItemTable", chat, {"tabs": [{"tabId": "t", "bubbles": say("one")}, 5]}), ("ItemTable", "other.chat", {"messages": say("no")}), ("ItemTable", chat + "2", "not json")])
+    _store(home / ".config/Cursor/User/workspaceStorage/w2/state.vscdb", [("ItemTable", chat, {"tabs": [{"tabId": "t", "bubbles": say("one", "two")}]})])
+    composer = {"composerId": "c", "name": "N" * 80, "createdAt": 1.7e12, "lastUpdatedAt": "2025-01-02T03:04:05Z", "conversation": say("hi")}
+    _store(home / ".config/Cursor/User/globalStorage/state.vscdb", [("cursorDiskKV", "composerData:c", composer)])
+    _store(tmp_path / "mnt/c/Users/me/AppData/Roaming/Windsurf/User/globalStorage/state.vscdb", [("ItemTable", "codeium.state", {"proto": "AAA="})])
+    roots = {f: keyvalue.editor_roots(f, str(home), str(tmp_path)) for f in keyvalue.FLAVOURS}
+    assert [len(r) for r in roots.values()] == [1, 1, 0] and len(keyvalue.store_paths(roots["cursor"])) == 3
+    got = _rows(keyvalue.read_editor(spark, "cursor", roots["cursor"]))
+    assert sorted(got) == ["cursor:c", "cursor:t"] and len(got["cursor:t"]["messages"]) == 2
+    c = got["cursor:c"]
+    assert c["title"] == "N" * 60 and c["started_at"].year == 2023 and c["ended_at"].day == 2
+    assert [tuple(r) for r in keyvalue.detected(spark, roots).collect()] == [("antigravity", 0, 0, "no store"), ("cursor", 3, 2, "read"), ("windsurf", 1, 0, "no chats in its stores: skipped")]
+
+
+def test_spellings_of_messages(spark):
+    m = [{"role": "user", "text": "", "content": " kept\t", "timestamp": "2025-03-04T05:06:07Z"}, {"author": "bot", "message": "m", "created_at": 1700000000}, {"type": 2, "text": "t", "createdAt": 1700000000000}, {"role": "User", "text": "no"}, {"role": "user", "text": "  "}]
+    df = spark.createDataFrame([("p", "ItemTable", "agent.session.x", json.dumps(m)), ("p", "ItemTable", "agent.session.y", json.dumps({"conversation": [], "messages": m}))], "path string, tab string, key string, value string")
+    (row,) = keyvalue.editor_sessions(df, "antigravity").collect()  # the first list counts, though it is empty
+    assert [(x["role"], x["text"]) for x in row["messages"]] == [("user", "kept"), ("assistant", "m"), ("assistant", "t")]
+    assert [x["ts"].year for x in row["messages"]] == [2025, 2023, 2023] and row["title"] == "kept"
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    from threadlode.sources.transcripts import parse_jsonl
+
+    table = SessionTable(spark, str(tmp_path / "t"), 8)
+    lines = lambda ids, text: spark.createDataFrame([(json.dumps({"source": "s", "native_id": str(k), "messages": [{"role": "user", "text": text}]}),) for k in ids], "value string")
+    table.apply(parse_jsonl(lines(range(40), "old")))
+    table.apply(parse_jsonl(lines([3], "new")))
+    assert len(list((tmp_path / "t" / "v-2").glob("bucket=*"))) == 1
+    assert sorted(r["messages"][0]["text"] for r in table.current().collect()) == ["new"] + ["old"] * 39

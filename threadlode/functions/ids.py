@@ -35,7 +35,7 @@ def proposal_id(source_hash: Column, title: Column) -> Column:
 
 
 def members_hash(lines: Column) -> Column:
-    """Of ``id:text`` lines in any order."""
+    """Of hashes of ``id:text`` lines, in any order: hashes are collected, never the texts."""
     return F.sha2(F.array_join(F.array_sort(lines), "\n"), 256)
 
 

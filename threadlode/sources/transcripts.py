@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from threadlode import schemas
 from threadlode.functions.ids import content_hash, session_id
-from threadlode.functions.text import has_marker, strip, strip_wrappers
+from threadlode.functions.text import SESSION_MARKERS, is_meta, strip, strip_wrappers
 
 LINE = "source string, native_id string, title string, started_at string, ended_at string, messages array<struct<role: string, text: string, ts: string>>"
 LOG_LINE = "type string, isSidechain boolean, timestamp string, message struct<role: string, content: string>"
@@ -32,13 +32,13 @@ def epoch(x: Column) -> Column:
     return F.timestamp_millis(ms.cast("long"))
 
 
-def _session(df: DataFrame, user: str) -> DataFrame:
-    """From source, native_id, title, started_at, ended_at, messages: the sessions schema."""
+def _session(df: DataFrame, user: str, *others: str) -> DataFrame:
+    """From source, native_id, title, started_at, ended_at, messages: the sessions schema, and ``others`` as they are."""
     fields = [f.split()[0] for f in schemas.SESSION.split(", ") if "messages" not in f and ": " not in f]
     out = df.withColumn("id", session_id(F.col("source"), F.col("native_id"))).withColumn("user_id", F.lit(user)).withColumn("content_hash", content_hash(F.col("messages")))
     order = ["id", "user_id", "source", "native_id", "title", "started_at", "ended_at", "messages", "content_hash"]
     assert {*fields} <= {*order}
-    return out.select(*order)
+    return out.select(*order, *others)
 
 
 def _messages(m: Column) -> Column:
@@ -60,11 +60,11 @@ def read_jsonl(spark: SparkSession, path: str, user: str = "local") -> DataFrame
     return parse_jsonl(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path), user)
 
 
-def parse_logs(files: DataFrame, source: str = "cli", markers: tuple[str, ...] = (), user: str = "local") -> DataFrame:
+def parse_logs(files: DataFrame, source: str = "cli", markers: tuple[str, ...] = SESSION_MARKERS, user: str = "local") -> DataFrame:
     """Event logs, one file a session, in ``files(path, value)`` with whole files as values.
 
     Side chains, other event types and blank texts are dropped; content is a string or a list of text blocks. A session
-    whose first user message begins with one of ``markers`` is dropped. Started and ended are the first and last
+    whose first user message, without wrappers, holds one of ``markers`` in its head is dropped. Started and ended are the first and last
     message's times; the title is the first message that isn't empty without its wrappers.
     """
     lines = files.select("path", F.posexplode(F.split("value", "\n")).alias("pos", "line"))
@@ -78,7 +78,7 @@ def parse_logs(files: DataFrame, source: str = "cli", markers: tuple[str, ...] =
     g = rows.groupBy("path").agg(ordered.alias("m")).withColumn("messages", _messages(F.col("m"))).where(F.size("messages") > 0)
     first_user = F.get(F.filter("messages", lambda x: x["role"] == "user"), F.lit(0))["text"]
     if markers:
-        g = g.where(first_user.isNull() | ~has_marker(first_user, markers))
+        g = g.where(first_user.isNull() | ~is_meta(first_user, markers))
     shown = F.filter(F.transform("messages", lambda x: strip_wrappers(x["text"])), lambda t: F.length(t) > 0)
     stem = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
     return _session(
