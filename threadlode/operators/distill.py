@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlode.functions.ids import note_id
+from threadlode.functions.text import strip
+from threadlode.providers import InvalidReply, Unavailable
 
 #: A provider takes a prompt and returns notes (kind, text, span).
 Provider = Callable[[str], list[tuple[str, str, str]]]
@@ -21,28 +23,63 @@ def first_sentences(prompt: str) -> list[tuple[str, str, str]]:
     return [("idea", text.strip(), span) for span, text in found]
 
 
+#: A task gives up after this many failures in a row.
+MOST_FAILURES = 5
+
+
 def distill(prompts: DataFrame, provider: Provider = first_sentences) -> DataFrame:
-    """One row per note of prompts (session_id, prompt), or one with its outcome where there is none or the call failed."""
+    """One row per note of prompts (session_id, prompt), or one with its outcome where there is none or the call failed.
+
+    Outcomes: ``ok``; ``zero_note`` (nothing found, or a reply that isn't valid: done all the same); ``failed``; ``cold``
+    (the provider is cooling down: neither this session nor the task's later ones are tried); ``skipped`` (the task gave
+    up after ``MOST_FAILURES`` failures in a row). All but the first two stay pending.
+    """
 
     def run(batches):
         import pyarrow as pa
 
+        stopped, failures = None, 0
         for batch in batches:
             rows = []
             for sid, prompt in zip(batch.column("session_id").to_pylist(), batch.column("prompt").to_pylist(), strict=True):
-                try:
-                    notes = provider(prompt or "")
-                except Exception:  # noqa: BLE001  a provider's failure is this session's outcome, and the session stays pending
-                    rows.append((sid, None, None, None, None, "failed"))
-                    continue
-                rows += [(sid, k, kind or "insight", text, span or "", "ok") for k, (kind, text, span) in enumerate(notes)] or [(sid, None, None, None, None, "zero_note")]
+                notes, outcome = [], stopped
+                if stopped is None:
+                    try:
+                        notes, outcome, failures = provider(prompt or ""), "zero_note", 0
+                    except InvalidReply:
+                        outcome, failures = "zero_note", 0
+                    except Unavailable:
+                        outcome = stopped = "cold"
+                    except Exception:  # noqa: BLE001  a provider's failure is this session's outcome, and the session stays pending
+                        outcome, failures = "failed", failures + 1
+                        stopped = "skipped" if failures >= MOST_FAILURES else None
+                rows += [(sid, k, kind or "insight", text, span or "", "ok") for k, (kind, text, span) in enumerate(notes)] or [(sid, None, None, None, None, outcome)]
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.int32(), *[pa.string()] * 4], strict=True)], [x.split()[0] for x in NOTES.split(", ")])
 
     return prompts.select("session_id", "prompt").mapInArrow(run, NOTES)
 
 
-def notes_of(rows: DataFrame) -> DataFrame:
-    """Notes with their ids: blank ones dropped, the first of each id kept."""
-    kept = rows.where("outcome = 'ok'").withColumn("text", F.trim("text")).where("length(text) > 0").withColumn("note_id", note_id(F.col("session_id"), F.col("text")))
-    return kept.groupBy("note_id").agg(F.min_by(F.struct("session_id", "kind", "text", "span_ref"), "pos").alias("x")).select("note_id", "x.*")
+def outcomes(rows: DataFrame) -> DataFrame:
+    """(session_id, outcome) of distilled rows, one per session."""
+    return rows.groupBy("session_id").agg(F.min("outcome").alias("outcome"))
+
+
+def checkpoint(rows: DataFrame, sessions: DataFrame, version: int) -> DataFrame:
+    """What to append to the checkpoint table: sessions that are done, with the content and the version they were done at."""
+    done = outcomes(rows).where("outcome in ('ok', 'zero_note')").select("session_id")
+    return sessions.join(done, "session_id", "left_semi").select("session_id", "content_hash", F.lit(version).alias("pipeline_version"))
+
+
+def notes_of(rows: DataFrame, sessions: DataFrame | None = None, version: int | None = None, now: Column | None = None) -> DataFrame:
+    """Notes with their ids: blank ones dropped, the first of each id kept.
+
+    With ``sessions(session_id, started_us)`` notes are dated by their session, or by ``now`` where that has no date, and
+    with ``version`` they are stamped with the pipeline version.
+    """
+    kept = rows.where("outcome = 'ok'").withColumn("text", strip(F.col("text"))).where("length(text) > 0").withColumn("note_id", note_id(F.col("session_id"), F.col("text")))
+    out = kept.groupBy("note_id").agg(F.min_by(F.struct("session_id", "kind", "text", "span_ref"), "pos").alias("x")).select("note_id", "x.*")
+    if sessions is not None:
+        dated = sessions.select("session_id", F.coalesce("started_us", now if now is not None else F.lit(None)).cast("long").alias("created_us"))
+        out = out.join(dated, "session_id", "left").select(*out.columns, "created_us")
+    return out if version is None else out.withColumn("pipeline_version", F.lit(version))
