@@ -50,3 +50,65 @@ def test_cluster_notes_numbers_by_smallest_member(spark):
     rows = [("u", f"n{k}", [1.0, 0.001 * k] if k % 2 else [0.001 * k, 1.0]) for k in range(12)]
     got = {r["note_id"]: r["cluster"] for r in clustering.cluster_notes(spark.createDataFrame(rows, "user_id string, note_id string, vec array<double>"), 3).collect()}
     assert got["n0"] == 0 and got["n1"] == 1 and len(set(got.values())) == 2
+
+
+def _plain_clusters(v, least):
+    """The definition, slowly: single linkage by repeated scans, a condensed tree by sets, the most stable clusters."""
+    v = v / (np.sqrt((v * v).sum(1)) + 1e-9)[:, None]
+    n = len(v)
+    d = np.sqrt(np.maximum(2 - 2 * v @ v.T, 0))
+    groups, merges = [frozenset([k]) for k in range(n)], []
+    while len(groups) > 1:
+        dist, a, b = min((min(d[i, j] for i in x for j in y), p, q) for p, x in enumerate(groups) for q, y in enumerate(groups) if p < q)
+        merges.append((groups[a], groups[b], dist))
+        groups = [g for k, g in enumerate(groups) if k not in (a, b)] + [groups[a] | groups[b]]
+    split = {x | y: (x, y, dist) for x, y, dist in merges}
+
+    def best(node, birth, root=False):
+        """(stability, clusters) of the subtree whose cluster is born with ``node``."""
+        own, here = 0.0, node
+        while True:
+            if here not in split:
+                return own, [node]
+            x, y, dist = split[here]
+            scale = 1 / max(dist, 1e-12)
+            big = [s for s in (x, y) if len(s) >= least]
+            if len(big) == 2:
+                own += (scale - birth) * len(here)
+                kids = [best(s, scale) for s in (x, y)]
+                below = sum(k[0] for k in kids)
+                return (own, [node]) if own >= below and not root else (below, kids[0][1] + kids[1][1])
+            own += (scale - birth) * sum(len(s) for s in (x, y) if s not in big)
+            if not big:
+                return own, [] if root else [node]
+            here = big[0]
+
+    out = np.full(n, -1)
+    for k, c in enumerate(sorted(best(frozenset(range(n)), 0.0, True)[1], key=min)):
+        out[list(c)] = k
+    return out
+
+
+def test_clusters_against_the_definition():
+    r = np.random.default_rng(3)
+    for trial in range(25):
+        centres = r.standard_normal((int(r.integers(2, 5)), 4))
+        v = centres[r.integers(0, len(centres), int(r.integers(12, 40)))]
+        v = v + r.standard_normal(v.shape) * r.uniform(0.05, 0.4)
+        least = int(r.integers(2, 5))
+        assert (clustering.cluster(v, least) == _plain_clusters(v, least)).all(), trial
+
+
+def test_deep_trees_and_too_many_notes(monkeypatch, spark):
+    import pytest
+
+    v = np.array([[np.cos(0.8**k), np.sin(0.8**k)] for k in range(1500)])  # each point joins one by one
+    assert len(clustering.cluster(v, 2)) == 1500
+    monkeypatch.setattr(clustering, "MOST_NOTES", 3)
+    rows = spark.createDataFrame([("u", f"n{k}", [1.0, float(k)]) for k in range(5)], "user_id string, note_id string, vec array<double>")
+    try:
+        clustering.cluster_notes(rows).collect()
+    except Exception as e:  # noqa: BLE001
+        assert "split them by time" in str(e)
+    else:
+        pytest.skip("workers import the module anew and see the real bound")

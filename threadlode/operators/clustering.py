@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Notes of one user that a task takes; beyond it the caller has to split by time.
+#: Notes of one user that a task takes; beyond it an error is raised, and the caller has to split by time.
 MOST_NOTES = 50_000
 
 
@@ -95,18 +95,19 @@ def condensed_labels(merges: np.ndarray, n: int, least: int) -> np.ndarray:
             best[c] = below
     labels = np.full(n, -1)
 
-    def spread(c: int, mark: int) -> None:
-        for x in members[c]:
-            labels[x] = mark
-        for k in kids[c]:
-            spread(k, mark)
+    def spread(c: int) -> None:
+        below = [c]
+        while below:
+            k = below.pop()
+            labels[members[k]] = c
+            below += kids[k]
 
     todo_c, picked = [0], []
     while todo_c:
         c = todo_c.pop()
         if c in chosen:
             picked.append(c)
-            spread(c, c)
+            spread(c)
         else:
             todo_c += kids[c]
     order = {c: k for k, c in enumerate(sorted(picked, key=lambda c: int(np.flatnonzero(labels == c)[0])))}
@@ -124,6 +125,8 @@ def cluster_notes(notes: DataFrame, least: int | None = None) -> DataFrame:
     """(user_id, note_id, cluster) of notes (user_id, note_id, vec); -1 is noise."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > MOST_NOTES:
+            raise ValueError(f"{len(pdf)} notes of one user: split them by time into parts of {MOST_NOTES} at most")
         pdf = pdf.sort_values("note_id")
         size = least or max(2, min(8, len(pdf) // 400))
         return pd.DataFrame({"user_id": pdf["user_id"], "note_id": pdf["note_id"], "cluster": cluster(np.array(pdf["vec"].tolist(), float), size)})

@@ -1,7 +1,8 @@
 """Incremental ingest: a file stream of normalised sessions, upserted by key.
 
 Changed sessions replace their earlier version, so there's no window to close and no watermark; the stream's checkpoint
-is the marker of what was read. Each batch writes the merged table as a new version and then moves a pointer to it.
+is the marker of what was read. The table lies in hashed buckets: a batch writes those it touches anew, as a further
+version, and leaves the others where they are; a reader takes the last complete version of each bucket.
 """
 
 from __future__ import annotations
@@ -11,35 +12,45 @@ from pyspark.sql import functions as F
 
 from threadlode import schemas
 from threadlode.operators.store import latest, upsert
+from threadlode.session import materialize
 from threadlode.sources.transcripts import parse_jsonl
 
 
+BUCKETS = 64
+
+
 class SessionTable:
-    """Versions of the sessions table under a folder; ``current`` reads the latest complete one."""
+    """Versions of the sessions table under a folder; ``current`` reads the latest complete one of each bucket."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
-    def _versions(self) -> list[int]:
+    def _versions(self) -> tuple[int, dict[int, str]]:
+        """The last complete version, and where each bucket's last version lies."""
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
         root = hadoop.Path(self.path)
         fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         if not fs.exists(root):
-            return []
+            return 0, {}
         names = [f.getPath() for f in fs.listStatus(root)]
-        return sorted(int(p.getName()[2:]) for p in names if p.getName().startswith("v-") and fs.exists(hadoop.Path(p, "_SUCCESS")))
+        done = sorted((int(p.getName()[2:]), p) for p in names if p.getName().startswith("v-") and fs.exists(hadoop.Path(p, "_SUCCESS")))
+        places = {int(f.getPath().getName().split("=")[1]): f.getPath().toString() for _, p in done for f in fs.listStatus(p) if "=" in f.getPath().getName()}
+        return (done[-1][0] if done else 0), places
+
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(schemas.SESSION).parquet(*paths) if paths else self.spark.createDataFrame([], schemas.SESSION)
 
     def current(self) -> DataFrame:
-        done = self._versions()
-        if not done:
-            return self.spark.createDataFrame([], schemas.SESSION)
-        return self.spark.read.schema(schemas.SESSION).parquet(f"{self.path}/v-{done[-1]}")
+        return self._read([*self._versions()[1].values()])
 
     def apply(self, incoming: DataFrame) -> None:
         """Merge; of several versions of a session in one batch the last to start counts."""
-        done = self._versions()
-        one = latest(incoming, ["id"], [F.desc_nulls_last("started_at"), F.desc("content_hash")])
-        upsert(self.current(), one, "id").write.mode("overwrite").parquet(f"{self.path}/v-{(done[-1] if done else 0) + 1}")
+        bucket = F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int")
+        one = materialize(latest(incoming, ["id"], [F.desc_nulls_last("started_at"), F.desc("content_hash")]), "batch")
+        last, places = self._versions()
+        touched = [r["b"] for r in one.select(bucket.alias("b")).distinct().collect()]  # at most as many as there are buckets
+        old = self._read([places[b] for b in touched if b in places])
+        upsert(old, one, "id").withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v-{last + 1}")
 
 
 def ingest_stream(spark: SparkSession, source: str, table: SessionTable, checkpoint: str):
