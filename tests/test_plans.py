@@ -13,7 +13,7 @@ from threadlode.oracles import ORACLES
 from threadlode.plans import review
 
 #: Plans that between them use every operator; the driver compares all queries.
-SOME = ("upsert_classify", "pending_distill", "render_prompt", "links_topk", "recall", "recall_handoff", "digest_items", "proposal_candidates", "overview", "timeline_weeks", "commit_xref", "export_sessions")
+SOME = ("upsert_classify", "pending_distill", "render_prompt", "links_topk", "recall", "recall_handoff", "digest_items", "proposal_candidates", "overview", "timeline_weeks", "commit_xref", "export_sessions", "kv_spellings", "label_cache", "status_cache", "digest_outcomes", "doctor_checks", "embed_missing", "recall_commits", "digests_data")
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +37,7 @@ def test_query_equals_its_sql(spark, duck, name):
 
 def test_every_query_is_registered():
     assert {*ORACLES} <= {*QUERIES} and {*QUERIES} <= {*entry.queries()}
-    assert {*QUERIES} - {*ORACLES} == {"cluster_hdbscan", "distill_notes"}
+    assert {*QUERIES} - {*ORACLES} == {"cluster_hdbscan", "distill_notes", "generate_proposals"}
 
 
 def test_degraded_and_rates(spark):
@@ -53,3 +53,48 @@ def test_digest_due(spark):
     log = spark.createDataFrame([(5,)], "ts_us long")
     week = 7 * 86_400_000_000
     assert review.digest_due(log.where("false"), 0).first()["is_due"] and not review.digest_due(log, 5 + week - 1).first()["is_due"] and review.digest_due(log, 5 + week).first()["is_due"]
+
+
+def test_generated_proposals_against_plain_python(spark):
+    """The registered query's provider by plain Python: cites, rejections, novelty and ratings."""
+    import hashlib
+
+    from threadlode.operators.embedding import hash_embedder
+    from threadlode.plans.bindings import Tables
+
+    t = Tables(spark, DATA)
+    raw = {r["conv_id"]: r["text"].strip()[:400] for r in t.messages.where("idx = 1").collect()}
+    notes = {r["note_id"]: r for r in t.notes.collect()}
+    embed = hash_embedder(8)
+    want = {}
+    for theme in t.themes.where("session_count >= 2").collect():
+        lines, used = [], 0
+        for i in theme["note_ids"]:
+            n = notes[i]
+            line = f"[{i}] ({n['kind']}, {n['source']}) {n['text']}" + (f"\n    raw: {raw[n['vec_id']]}" if raw.get(n["vec_id"]) else "")
+            used += len(line)
+            if used > 6000:
+                break
+            lines.append(line)
+        prompt = "\n".join(lines)
+        ids = [line[1:].split("]")[0] for line in lines]
+        if not prompt or len(prompt) % 5 == 2:
+            continue
+        title, text, step, cites = ("Try", f"fresh {len(prompt)}", "begin", [*dict.fromkeys([ids[0], ids[-1]])])
+        reason = None
+        if len(prompt) % 5 == 0:
+            title, text, step, cites, reason = "No ground", "text", "", [], "no_cites"
+        elif len(prompt) % 5 == 1:
+            title, text, step, cites, reason = "", "text", "", [], "no_cites"
+        key = hashlib.sha256(f"{theme['content_hash']}|{title or reason}".encode()).hexdigest()[:8]
+        sim = None if reason else round(max(sum(a * b for a, b in zip(x, y, strict=True)) for x in embed([text]) for y in embed([notes[i]["text"] for i in theme["note_ids"]])), 5)
+        if sim is not None and sim > 0.9:
+            reason, step, cites, sim = "paraphrase", "", [], None
+        rating = None if reason or len(f"{title}\n{text}\nNext step: {step}") % 2 else 4
+        want[theme["theme_id"]] = ("prop:" + key, title or "(rejected)", text, step, ",".join(cites), rating, "rejected" if reason else "pending", reason, sim)
+    got = {r["source_ref"]: r for r in QUERIES["generate_proposals"](spark, DATA).collect()}
+    assert {*got} == {*want} and {w[7] for w in want.values()} >= {None, "no_cites"}
+    for ref, w in want.items():
+        r = got[ref]
+        assert (r["proposal_id"], r["title"], r["text"], r["next_step"], r["cites"], r["feasibility"], r["outcome"], r["reject_reason"]) == w[:8]
+        assert (r["novelty_sim"] is None) == (w[8] is None) and (w[8] is None or abs(r["novelty_sim"] - w[8]) < 2e-5)

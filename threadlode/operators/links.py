@@ -7,40 +7,77 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadlode.functions.ids import gap_days, link_id
+from threadlode.functions.ids import DAY_US, gap_days, link_id
 from threadlode.functions.vectors import EPSILON
 
-FLOOR, TIME_WEIGHT, SOURCE_WEIGHT, TOP, BLOCK = 0.6, 1.0, 0.5, 200, 1024
+FLOOR, TIME_WEIGHT, SOURCE_WEIGHT, TOP, BLOCK = 0.6, 1.0, 0.5, 200, 4096
+#: Rows of a block that are multiplied at a time.
+STRIP = 1024
+#: Pairs that leave a task beyond the best, as weights right at the edge of a rounding may fall to either side.
+EDGE = 50
+
+
+def _dealt(notes: DataFrame, block: int, *others: str) -> DataFrame:
+    """Rows of each pair of hashed blocks of about ``block`` notes."""
+    blocks = max(1, -(-notes.count() // block))
+    own = notes.select("note_id", "theme_id", "vec", *others).withColumn("own", F.pmod(F.xxhash64("note_id"), F.lit(blocks)).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return dealt.select(F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "note_id", "theme_id", "vec", *others)
+
+
+def _pairs_of(pdf: pd.DataFrame, floor: float):
+    """Positions (i, j) in ``pdf``, sorted by note_id, and the cosine of the pairs of a task, ``STRIP`` rows at a time."""
+    v = np.array(pdf["vec"].tolist(), np.float64)
+    v = v / (np.sqrt((v * v).sum(1)) + EPSILON)[:, None]
+    ids, own = pdf["note_id"].to_numpy(), pdf["own"].to_numpy()
+    theme = pd.factorize(pdf["theme_id"], use_na_sentinel=True)[0]
+    same = pdf["low"].iloc[0] == pdf["high"].iloc[0]
+    low, high = np.flatnonzero(own == pdf["low"].iloc[0]), np.flatnonzero(own == pdf["high"].iloc[0])
+    for at in range(0, len(low), STRIP):
+        sim = v[low[at : at + STRIP]] @ v[high].T
+        i, j = np.nonzero(sim >= floor - 1e-9)
+        s, i, j = sim[i, j], low[at + i], high[j]
+        keep = (theme[i] != theme[j]) & (ids[i] != ids[j]) & ((i < j) if same else True)
+        i, j, s = i[keep], j[keep], s[keep]
+        yield np.minimum(i, j), np.maximum(i, j), s
 
 
 def similar_pairs(notes: DataFrame, floor: float = FLOOR, block: int = BLOCK) -> DataFrame:
     """(a, b, sim) with a < b by note_id, cosine >= floor, themes different (two notes without a theme don't differ).
 
-    Notes are dealt into hashed blocks of about ``block`` rows; each pair of blocks is one task that multiplies two
-    matrices, so memory per task is fixed and nothing is broadcast. Only pairs above the floor leave a task.
+    Each pair of hashed blocks is one task that multiplies two matrices, so memory per task is fixed and nothing is
+    broadcast. Only pairs above the floor leave a task.
     """
-    blocks = max(1, -(-notes.count() // block))
-    own = notes.select("note_id", "theme_id", "vec").withColumn("own", F.pmod(F.xxhash64("note_id"), F.lit(blocks)).cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.select(F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "note_id", "theme_id", "vec")
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("note_id")
-        v = np.array(pdf["vec"].tolist(), np.float64)
-        v = v / (np.sqrt((v * v).sum(1)) + EPSILON)[:, None]
-        ids, own = pdf["note_id"].to_numpy(), pdf["own"].to_numpy()
-        theme = pd.factorize(pdf["theme_id"], use_na_sentinel=True)[0]
-        low, high = np.flatnonzero(own == pdf["low"].iloc[0]), np.flatnonzero(own == pdf["high"].iloc[0])
-        sim = v[low] @ v[high].T
-        i, j = np.nonzero(sim >= floor - 1e-9)
-        s, i, j = sim[i, j], low[i], high[j]
-        keep = (theme[i] != theme[j]) & (ids[i] != ids[j])
-        if pdf["low"].iloc[0] == pdf["high"].iloc[0]:
-            keep &= i < j
-        i, j, s = i[keep], j[keep], s[keep]
-        return pd.DataFrame({"a": ids[np.minimum(i, j)], "b": ids[np.maximum(i, j)], "sim": s})
+        ids = pdf["note_id"].to_numpy()
+        return pd.concat([pd.DataFrame({"a": ids[i], "b": ids[j], "sim": s}) for i, j, s in _pairs_of(pdf, floor)] or [pd.DataFrame({"a": [], "b": [], "sim": []})])
+
+    return _dealt(notes, block).groupBy("low", "high").applyInPandas(join, "a string, b string, sim double").where(F.col("sim") >= floor)
+
 
-    return dealt.groupBy("low", "high").applyInPandas(join, "a string, b string, sim double").where(F.col("sim") >= floor)
+def heaviest(notes: DataFrame, floor: float, top: int, block: int = BLOCK) -> DataFrame:
+    """(a, b, sim) that hold the ``top`` heaviest links: of each pair of blocks only as many leave the task, so what is
+    shuffled on depends on the blocks and not on the pairs. Weights that could round to the same stay together."""
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("note_id")
+        ids, source = pdf["note_id"].to_numpy(), pd.factorize(pdf["source"])[0]
+        us = pdf["created_us"].astype("float64").to_numpy()  # whole microseconds, exact in doubles
+        held = pd.DataFrame({"a": [], "b": [], "sim": [], "w": []})
+        for i, j, s in _pairs_of(pdf, floor):
+            gap = np.nan_to_num(np.abs(np.floor((us[i] - us[j]) / DAY_US)))
+            w = s * (1 + TIME_WEIGHT * np.minimum(gap / 90, 1) + SOURCE_WEIGHT * (source[i] != source[j]))
+            some = pd.DataFrame({"a": ids[i], "b": ids[j], "sim": s, "w": np.floor(w * 1e4 + 0.5)})
+            # a weight right at the edge between two roundings counts as the greater
+            some["w"] += (w * 1e4 + 0.5 - some["w"]) > 1 - 1e-6
+            both = pd.concat([held, some]) if len(held) else some
+            held = both.sort_values(["w", "a", "b"], ascending=[False, True, True]).head(top + EDGE)
+        return held[["a", "b", "sim"]]
+
+    rows = _dealt(notes, block, "source", "created_us")
+    return rows.groupBy("low", "high").applyInPandas(join, "a string, b string, sim double").where(F.col("sim") >= floor)
 
 
 def weight(sim: Column, gap: Column, other_source: Column) -> Column:
@@ -51,7 +88,7 @@ def weight(sim: Column, gap: Column, other_source: Column) -> Column:
 def links(notes: DataFrame, floor: float = FLOOR, top: int | None = TOP) -> DataFrame:
     """Links with their weight (4 decimals), best first; ties by ids. ``top=None`` keeps all."""
     side = lambda p: notes.select(F.col("note_id").alias(p), F.col("theme_id").alias(f"{p}_theme"), F.col("created_us").alias(f"{p}_us"), F.col("source").alias(f"{p}_source"))
-    pairs = similar_pairs(notes, floor).join(side("a"), "a").join(side("b"), "b")
+    pairs = (similar_pairs(notes, floor) if top is None else heaviest(notes, floor, top)).join(side("a"), "a").join(side("b"), "b")
     gap = F.coalesce(gap_days(F.col("a_us"), F.col("b_us")), F.lit(0))
     out = pairs.select(
         link_id(F.col("a"), F.col("b")).alias("link_id"),

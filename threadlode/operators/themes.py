@@ -24,7 +24,7 @@ def rollup(notes: DataFrame) -> DataFrame:
         F.max("created_us").alias("last_us"),
         F.count("*").alias("n_notes"),
         F.array_sort(F.collect_list("note_id")).alias("note_ids"),
-        members_hash(F.collect_list(F.concat_ws(":", "note_id", "text"))).alias("content_hash"),
+        members_hash(F.collect_list(F.sha2(F.concat_ws(":", "note_id", "text"), 256))).alias("content_hash"),
         fallback_label(F.min_by("text", "note_id")).alias("label"),
     )
     return grouped.withColumn("span_days", F.expr(f"(last_us - first_us) div {DAY_US}"))

@@ -30,10 +30,10 @@ messages AS (
 ), rollup_ AS (
   SELECT theme_id, count(DISTINCT session_id) AS session_count, count(DISTINCT source) AS source_count, min(created_us) AS first_us, max(created_us) AS last_us,
     count(*) AS n_notes, (max(created_us) - min(created_us)) // {DAY} AS span_days, list_sort(list(note_id)) AS note_ids,
-    sha256(string_agg(note_id || ':' || text, chr(10) ORDER BY note_id || ':' || text)) AS content_hash, min_by(text, note_id) AS first_text
+    sha256(string_agg(sha256(note_id || ':' || text), chr(10) ORDER BY sha256(note_id || ':' || text))) AS content_hash, min_by(text, note_id) AS first_text
   FROM notes WHERE theme_id IS NOT NULL GROUP BY theme_id
 ), labelled AS (
-  SELECT *, CASE WHEN length(first_text) > 40 THEN regexp_replace(substr(first_text, 1, 40), '\\s+\\S*$', '') ELSE first_text END AS label FROM rollup_
+  SELECT *, CASE WHEN length(first_text) > 40 THEN regexp_replace(regexp_replace(substr(first_text, 1, 40), ' [^ ]*$', ''), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') ELSE first_text END AS label FROM rollup_
 ), themes AS (
   SELECT * EXCLUDE (v), CASE WHEN session_count < 2 OR span_days < 14 THEN 'unknown' WHEN v = 'open' AND last_us < {NOW - 60 * DAY} THEN 'dormant' ELSE v END AS status
   FROM (SELECT *, CASE WHEN theme_id LIKE 'theme:3-%' THEN 'resolved' ELSE 'open' END AS v FROM labelled)
@@ -50,7 +50,7 @@ messages AS (
     round(sim * (1.0 + 1.0 * least(gap_days / 90.0::DOUBLE, 1.0::DOUBLE) + 0.5 * crosses::INTEGER::DOUBLE), 4) AS weight, gap_days
   FROM pairs WHERE sim >= 0.3
 ), links AS (
-  SELECT * FROM all_links ORDER BY weight DESC, from_note, to_note LIMIT 200
+  SELECT *, CASE WHEN regexp_matches(link_id, '[0-3]$') THEN 'explained: ' || to_note END AS why FROM all_links ORDER BY weight DESC, from_note, to_note LIMIT 200
 ), told_links AS (
   SELECT l.*, a.text AS from_text, a.source AS from_source, a.session_id AS from_session, a.created_us AS from_us, b.text AS to_text, b.source AS to_source, b.session_id AS to_session, b.created_us AS to_us
   FROM links l JOIN notes a ON a.note_id = l.from_note JOIN notes b ON b.note_id = l.to_note
@@ -74,8 +74,8 @@ messages AS (
   GROUP BY t.theme_id, t.label, t.status, t.first_us, t.last_us
 ), hit_bridges AS (
   SELECT l.link_id AS ref, substr(l.from_text, 1, 60) || ' ↔ ' || substr(l.to_text, 1, 60) AS title, l.to_text AS summary,
-    'bridge across ' || CASE WHEN l.from_source = l.to_source THEN l.from_source ELSE least(l.from_source, l.to_source) || ' ↔ ' || greatest(l.from_source, l.to_source) END
-      || CASE WHEN l.gap_days >= 60 THEN ' · ' || (l.gap_days // 30) || ' months apart' ELSE '' END AS why,
+    coalesce(l.why, 'bridge across ' || CASE WHEN l.from_source = l.to_source THEN l.from_source ELSE least(l.from_source, l.to_source) || ' ↔ ' || greatest(l.from_source, l.to_source) END
+      || CASE WHEN l.gap_days >= 60 THEN ' · ' || (l.gap_days // 30) || ' months apart' ELSE '' END) AS why,
     round(l.weight + greatest(coalesce(h1.score, 0), coalesce(h2.score, 0)), 6) AS score, [a.src, b.src] AS sources, [l.from_note, l.to_note] AS cites
   FROM told_links l LEFT JOIN hot h1 ON h1.note_id = l.from_note LEFT JOIN hot h2 ON h2.note_id = l.to_note
     JOIN shown_note a ON a.note_id = l.from_note JOIN shown_note b ON b.note_id = l.to_note
@@ -105,12 +105,12 @@ messages AS (
 ), log AS (
   SELECT (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) // {7 * DAY} + 1 AS digest_id, event_id, epoch_us(ts) AS ts_us,
     'theme:' || (user_id % 10) || '-' || (event_id % 8) AS theme_ref, CASE WHEN event_id % 2 = 0 THEN 'nudge' ELSE 'connection' END AS kind,
-    CASE event_id % 3 WHEN 0 THEN 'dismissed' WHEN 1 THEN 'kept' ELSE 'shown' END AS outcome
+    CASE WHEN event_id % 3 = 0 AND event_id % 8 IN (0, 3, 6) THEN 'dismissed' WHEN event_id % 3 = 1 THEN 'kept' ELSE 'shown' END AS outcome
   FROM events
 ), dismissed AS (
   SELECT theme_ref, count(*) AS n_dismissed FROM log WHERE outcome = 'dismissed' GROUP BY theme_ref HAVING count(*) >= 2
 ), blocked AS (
-  SELECT theme_ref FROM dismissed WHERE n_dismissed >= 45
+  SELECT theme_ref FROM dismissed UNION SELECT theme_id FROM labelled WHERE lower(trim(label)) IN (SELECT label_lc FROM muted)
 ), recent AS (
   SELECT DISTINCT theme_ref FROM log WHERE kind = 'nudge' AND digest_id IN (SELECT DISTINCT digest_id FROM log ORDER BY digest_id DESC LIMIT 2)
 ), digest_c AS (
@@ -124,12 +124,42 @@ messages AS (
   FROM open_ WHERE status = 'open' AND theme_id NOT IN (SELECT theme_ref FROM blocked) AND theme_id NOT IN (SELECT theme_ref FROM recent) QUALIFY k <= 2
 ), ranked AS (
   SELECT proposal_id, title, coalesce(CAST(feasibility AS DOUBLE), 2.5) AS rank_score, doc_id FROM proposals WHERE outcome = 'pending'
+), commits AS (
+  SELECT item_id AS pos, 'c' || item_id AS sha, text AS message FROM benchmark ORDER BY item_id LIMIT 300
+), fresh AS (
+  SELECT CAST(row_number() OVER (ORDER BY session_count DESC, theme_id) AS INTEGER) AS n, theme_id, label FROM themes WHERE session_count >= 2 QUALIFY n <= 3
+), digests AS (
+  SELECT digest_id, max(ts_us) AS created_us, count(*) AS item_count FROM log GROUP BY digest_id UNION ALL SELECT max(digest_id) + 1, {NOW - 1}, 0 FROM log
+  UNION ALL SELECT max(digest_id) + 2, {NOW}, (SELECT count(*) FROM fresh) FROM log
+), rated AS (
+  SELECT doc_id, proposal_id, title, feasibility, CASE WHEN doc_id % 3 = 0 THEN 'dismissed' WHEN doc_id % 2 = 0 THEN 'kept' ELSE outcome END AS outcome, CASE WHEN outcome = 'rejected' THEN reject_reason END AS reject_reason,
+    CASE WHEN doc_id % 3 <> 0 AND doc_id % 2 = 0 THEN 'good' END AS rating_note, CASE WHEN doc_id % 3 = 0 THEN 20 WHEN doc_id % 2 = 0 THEN 10 END::BIGINT AS rated_us, CASE WHEN doc_id % 3 = 0 THEN 'digest' WHEN doc_id % 2 = 0 THEN 'cli' END AS rated_via
+  FROM proposals
+), health AS (
+  SELECT 'p' || n_regionkey AS provider, 'm' || n_nationkey AS model, n_nationkey AS k, CASE WHEN n_nationkey % 5 = 0 THEN 0 ELSE n_nationkey * 13 % 7 + 1 END::BIGINT AS calls,
+    CASE WHEN n_nationkey % 7 = 3 THEN 9e12 WHEN n_nationkey % 2 = 0 THEN 0.0 ELSE {NOW // 1_000_000 + 60}.0 END::DOUBLE AS cooldown FROM nation
+), excerpts AS (
+  SELECT n.*, substr(regexp_replace(m.text, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'), 1, 400) AS raw FROM notes n LEFT JOIN messages m ON m.conv_id = n.vec_id AND m.idx = 1
+), data AS (
+  SELECT theme_id, label, status, session_count, source_count, n_notes, strftime(make_timestamp(first_us), '%Y-%m-%d') AS first_day, strftime(make_timestamp(last_us), '%Y-%m-%d') AS last_day, lower(label) IN (SELECT label_lc FROM muted) AS is_muted FROM themes
+), storage AS (
+  SELECT 'messages' AS table_name, 'raw' AS data_class, count(*) AS n_rows, sum(length(text))::BIGINT AS n_chars FROM messages
+  UNION ALL SELECT 'notes', 'derived', count(*), coalesce(sum(length(text)), 0)::BIGINT FROM notes UNION ALL SELECT 'themes', 'derived', count(*), coalesce(sum(length(label)), 0)::BIGINT FROM themes
+  UNION ALL SELECT 'proposals', 'judgment', count(*), coalesce(sum(length(title)), 0)::BIGINT FROM proposals
 )
 """
 
+_STRIPPED = "regexp_replace({0}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+_READ_STRIPPED = f""", x AS (SELECT session_id, idx, role, {_STRIPPED.format("text")} AS text FROM told)
+SELECT session_id, count(*) AS n_messages, sha256(string_agg(role || ':' || text, chr(10) ORDER BY idx)) AS content_sha FROM x GROUP BY session_id"""
 _READ_BACK = "SELECT session_id, n_messages, content_hash AS content_sha FROM sessions"
-_LINE = "('[' || note_id || '] (' || kind || ', ' || source || ') ' || substr(text, 1, 400))"
+_LINE = "('[' || note_id || '] (' || kind || ', ' || source || ') ' || text || CASE WHEN length(raw) > 0 THEN chr(10) || '    raw: ' || raw ELSE '' END)"
 _WORDS = "list_filter(list_distinct(regexp_extract_all(lower({0}), '[a-z]{{3,}}')), lambda w: w NOT IN ('the', 'and', 'for', 'with', 'that', 'this', 'from', 'into', 'your'))"
+_GIT = f""", fw AS (SELECT ref, unnest({_WORDS.format("title || ' ' || summary")}) AS w FROM fused), cw AS (SELECT pos, unnest({_WORDS.format("message")}) AS w FROM commits)
+, og AS (SELECT ref, pos FROM fw JOIN cw USING (w) GROUP BY ref, pos HAVING count(*) >= 3 QUALIFY row_number() OVER (PARTITION BY ref ORDER BY count(*) DESC, pos) = 1)
+, fg AS (SELECT f.*, 'possibly implemented in ' || c.sha || ' — “' || c.message || '”' AS git_ref FROM fused f LEFT JOIN og ON og.ref = f.ref LEFT JOIN commits c ON c.pos = og.pos)
+, fx AS (SELECT * EXCLUDE (why), CASE WHEN status = 'open' AND git_ref IS NOT NULL THEN why || ' · a local commit may have addressed this' ELSE why END AS why FROM fg)
+"""
 
 _TAILS = {
     "session_rollup": "SELECT session_id, title, started_us, n_messages FROM sessions",
@@ -140,24 +170,25 @@ _TAILS = {
     "insert_if_absent": "SELECT proposal_id, CASE WHEN doc_id % 2 = 0 THEN outcome ELSE 'pending' END AS outcome FROM proposals",
     "latest_judgment": "SELECT theme_ref, event_id, outcome FROM log QUALIFY row_number() OVER (PARTITION BY theme_ref ORDER BY ts_us DESC, event_id DESC) = 1",
     "strip_wrappers": "SELECT session_id, idx, sha256(regexp_replace(text, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) AS clean_sha FROM messages",
-    "scrub_secrets": "SELECT session_id, idx, text || ' [REDACTED]' AS clean FROM messages",
-    "meta_message": "SELECT session_id, idx, idx % 3 = 0 AS is_meta FROM messages",
+    "scrub_secrets": """SELECT session_id, idx, text || ' ' || CASE WHEN (conv_id + idx) % 15 < 11 THEN '[REDACTED]'
+  ELSE ['sk-abcdefghij012345678', 'ghx_abcdefghij0123456789', 'AKIAABCDEFGHIJKLMNO', 'xoxq-123456789-a'][CAST((conv_id + idx) % 15 - 10 AS INTEGER)] END || ' end' AS clean FROM messages""",
+    "meta_message": "SELECT session_id, idx, idx % 4 < 2 AS is_meta FROM messages",
     "render_prompt": """, s AS (SELECT session_id, idx, role, regexp_replace(text, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS t FROM messages)
-, l AS (SELECT session_id, idx, 'msg:' || idx || ' [' || role || '] ' || CASE WHEN length(t) > 300 THEN substr(t, 1, 300) || ' […]' ELSE t END AS line FROM s WHERE length(t) > 0)
+, l AS (SELECT session_id, idx, 'msg:' || idx || ' [' || role || '] ' || CASE WHEN length(t) > 2000 THEN substr(t, 1, 2000) || ' […]' ELSE t END AS line FROM s WHERE length(t) > 0)
 , r AS (SELECT *, sum(length(line)) OVER (PARTITION BY session_id ORDER BY idx) AS used FROM l)
-, g AS (SELECT session_id, string_agg(line, chr(10) ORDER BY idx) FILTER (WHERE used <= 1500) || CASE WHEN max(used) > 1500 THEN chr(10) || '[… truncated]' ELSE '' END AS prompt FROM r GROUP BY session_id)
+, g AS (SELECT session_id, string_agg(line, chr(10) ORDER BY idx) FILTER (WHERE used <= 16000) || CASE WHEN max(used) > 16000 THEN chr(10) || '[… truncated]' ELSE '' END AS prompt FROM r GROUP BY session_id)
 SELECT session_id, length(prompt) AS n_chars, sha256(prompt) AS prompt_sha FROM g""",
     "note_ids": "SELECT vec_id, note_id FROM embedded",
     "note_dedup": "SELECT note_id, min(vec_id) AS vec_id FROM embedded GROUP BY note_id",
     "show_source": """, p AS (SELECT conv_id, session_id, title, CASE conv_id % 7 WHEN 6 THEN NULL WHEN 5 THEN 99 ELSE conv_id % 3 END AS i FROM sessions)
 SELECT 'note:' || p.conv_id AS note_id, p.session_id, p.title, substr(regexp_replace(m.text, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'), 1, 400) AS excerpt
 FROM p LEFT JOIN messages m ON m.conv_id = p.conv_id AND m.idx = p.i""",
-    "ground_context": f""", r AS (SELECT theme_id, length({_LINE}) AS n, sum(length({_LINE})) OVER (PARTITION BY theme_id ORDER BY note_id) AS used FROM notes WHERE theme_id IS NOT NULL)
-SELECT theme_id, count(*) AS n_lines, CAST(sum(n) AS BIGINT) AS n_chars FROM r WHERE used <= 1500 GROUP BY theme_id""",
+    "ground_context": f""", r AS (SELECT theme_id, length({_LINE}) AS n, sum(length({_LINE})) OVER (PARTITION BY theme_id ORDER BY note_id) AS used FROM excerpts WHERE theme_id IS NOT NULL)
+SELECT theme_id, count(*) AS n_lines, CAST(sum(n) AS BIGINT) AS n_chars FROM r WHERE used <= 6000 GROUP BY theme_id""",
     "normalize_cites": "SELECT theme_id, CASE WHEN len(note_ids) > 1 THEN note_ids[1] || ',' || note_ids[2] ELSE note_ids[1] END AS cites FROM themes",
     "fallback_label": "SELECT theme_id, label FROM themes",
     "truncate_text": "SELECT note_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '…' ELSE text END AS short FROM notes",
-    "hash_embed": """, j AS (SELECT item_id, j, CAST('0x' || substr(sha256(j || ':' || text), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE - 0.5::DOUBLE AS x FROM benchmark, (SELECT unnest(range(8))::INTEGER AS j))
+    "hash_embed": """, j AS (SELECT item_id, j, CAST('0x' || substr(sha256(j || ':' || text), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE - 0.5::DOUBLE AS x FROM benchmark, (SELECT unnest(range(384))::INTEGER AS j))
 SELECT item_id, j, round(x / sqrt(sum(x * x) OVER (PARTITION BY item_id)), 6) AS x FROM j""",
     "knn_topk": "SELECT note_id, score FROM near ORDER BY score DESC, note_id LIMIT 25",
     "min_cluster_size": "SELECT label, CAST(greatest(2, least(8, (count(*) * 20) // 400)) AS INTEGER) AS size FROM notes GROUP BY label",
@@ -169,7 +200,7 @@ SELECT item_id, j, round(x / sqrt(sum(x * x) OVER (PARTITION BY item_id)), 6) AS
     "list_themes": "SELECT theme_id, session_count FROM themes ORDER BY session_count DESC, theme_id LIMIT 50",
     "links_topk": "SELECT link_id, from_note, to_note, weight, gap_days FROM links",
     "links_all": "SELECT from_note AS note_id, count(*) AS n_links FROM all_links GROUP BY from_note",
-    "connections": "SELECT link_id, from_note, to_note, from_text, to_text, from_source, to_source, weight, gap_days FROM told_links ORDER BY weight DESC, from_note, to_note LIMIT 20",
+    "connections": "SELECT link_id, from_note, to_note, from_text, to_text, from_source, to_source, weight, gap_days, why FROM told_links ORDER BY weight DESC, from_note, to_note LIMIT 20",
     "theme_pairs": """SELECT least(coalesce(from_theme, '?'), coalesce(to_theme, '?')) AS theme_a, greatest(coalesce(from_theme, '?'), coalesce(to_theme, '?')) AS theme_b,
   count(*) AS n_links, round(max(weight), 3) AS max_weight, arg_max(link_id, (weight, from_note, to_note)) AS sample_link FROM links GROUP BY ALL""",
     "pair_edges": """SELECT least(coalesce(from_theme, '?'), coalesce(to_theme, '?')) AS theme_a, greatest(coalesce(from_theme, '?'), coalesce(to_theme, '?')) AS theme_b, count(*) AS n_links
@@ -178,10 +209,11 @@ FROM links GROUP BY ALL ORDER BY n_links DESC, theme_a, theme_b LIMIT 15""",
 FROM (SELECT * FROM told_links ORDER BY weight DESC, from_note, to_note LIMIT 20) l LEFT JOIN themes a ON a.theme_id = l.from_theme LEFT JOIN themes b ON b.theme_id = l.to_theme""",
     "recall_themes": "SELECT ref, title, why, score, status, date_range, array_to_string(sources, '|') AS sources, array_to_string(cites, '|') AS cites FROM hit_themes",
     "recall_bridges": "SELECT ref, title, why, score, array_to_string(sources, '|') AS sources FROM hit_bridges",
-    "recall": "SELECT rank, kind, ref, score FROM fused",
-    "recall_handoff": """, b AS (SELECT string_agg(rank || '. ' || title || CASE WHEN status IS NULL THEN '' ELSE ' [' || status || ']' END || ' — ' || summary || chr(10) || '   why: ' || why || chr(10) || '   sources: ' || array_to_string(sources, '; '), chr(10) ORDER BY rank) AS t FROM fused)
-, c AS (SELECT string_agg(x, ', ' ORDER BY x) AS t FROM (SELECT DISTINCT unnest(cites) AS x FROM fused))
-, h AS (SELECT coalesce('Relevant prior context (query: “vector 0”):' || chr(10) || chr(10) || b.t || chr(10) || 'cites: ' || c.t, 'no prior context found for “vector 0”') AS handoff FROM b, c)
+    "recall": "SELECT rank, kind, ref, score, why FROM fused",
+    "recall_commits": _GIT + "SELECT rank, ref, why, git_ref FROM fx",
+    "recall_handoff": _GIT.rstrip() + """, b AS (SELECT string_agg(rank || '. ' || title || CASE WHEN status IS NULL THEN '' ELSE ' [' || status || ']' END || ' — ' || summary || chr(10) || '   why: ' || why || coalesce(chr(10) || '   ' || git_ref, '') || chr(10) || '   sources: ' || array_to_string(sources, '; '), chr(10) ORDER BY rank) AS t FROM fx)
+, c AS (SELECT string_agg(x, ', ' ORDER BY x) AS t FROM (SELECT DISTINCT unnest(cites) AS x FROM fx))
+, h AS (SELECT coalesce('Relevant prior context (query: “vector 0”):' || chr(10) || chr(10) || b.t || chr(10) || chr(10) || 'Treat this as prior context, not ground truth — verify against the current code.' || chr(10) || 'cites: ' || c.t, 'no prior context found for “vector 0”') AS handoff FROM b, c)
 SELECT sha256(handoff) AS handoff_sha, length(handoff) AS n_chars FROM h""",
     "ask": """, q1 AS (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS q FROM embeddings WHERE vec_id = 1)
 , n1 AS (SELECT note_id FROM notes, q1 ORDER BY round(list_dot_product(vec, q) / (norm * (sqrt(list_dot_product(q, q)) + 1e-9)), 6) DESC, note_id LIMIT 1)
@@ -191,19 +223,20 @@ WHERE from_note IN (SELECT note_id FROM top50) OR to_note IN (SELECT note_id FRO
     "topic_themes": """SELECT t.theme_id, t.label, t.status, t.session_count, count(*) AS n_hits FROM member m JOIN top50 h ON h.note_id = m.note_id JOIN themes t ON t.theme_id = m.theme_id
 WHERE lower(trim(t.label)) NOT IN (SELECT label_lc FROM muted) GROUP BY ALL ORDER BY n_hits DESC, t.theme_id LIMIT 10""",
     "label_search": "SELECT theme_id, label, status, session_count FROM themes WHERE contains(lower(label), 'the') OR contains(lower(label), 'an') OR contains(lower(label), 'of') ORDER BY theme_id LIMIT 10",
-    "commit_xref": f""", h AS (SELECT note_id AS ref, unnest({_WORDS.format("substr(text, 1, 400)")}) AS w FROM notes), c AS (SELECT item_id AS pos, unnest({_WORDS.format("text")}) AS w FROM benchmark)
+    "commit_xref": f""", h AS (SELECT note_id AS ref, unnest({_WORDS.format("text")}) AS w FROM notes), c AS (SELECT pos, unnest({_WORDS.format("message")}) AS w FROM commits)
 , o AS (SELECT ref, pos, count(*) AS overlap FROM h JOIN c USING (w) GROUP BY ref, pos HAVING count(*) >= 3 QUALIFY row_number() OVER (PARTITION BY ref ORDER BY count(*) DESC, pos) = 1)
 SELECT ref, pos, overlap, substr(b.text, 1, 60) AS message FROM o JOIN benchmark b ON b.item_id = o.pos""",
     "hit_rate": "SELECT count(*) AS total, count_if(outcome = 'kept')::BIGINT AS kept, count_if(outcome = 'dismissed')::BIGINT AS dismissed, ((100 * count_if(outcome = 'kept')) // nullif(count_if(outcome IN ('kept', 'dismissed')), 0))::BIGINT AS hit_rate FROM proposals",
     "rejection_mix": "SELECT reject_reason, count(*) AS n FROM proposals WHERE outcome = 'rejected' GROUP BY reject_reason",
     "proposals_ranked": "SELECT proposal_id, title, rank_score FROM ranked ORDER BY rank_score DESC, doc_id LIMIT 20",
     "proposal_candidates": """, c AS (
-  SELECT 0 AS branch, 'connection' AS kind, link_id AS ref, sha256(least(from_note || ':' || from_text, to_note || ':' || to_text) || chr(10) || greatest(from_note || ':' || from_text, to_note || ':' || to_text)) AS source_hash, weight AS score
+  SELECT 0 AS branch, 'connection' AS kind, link_id AS ref, sha256(least(sha256(from_note || ':' || from_text), sha256(to_note || ':' || to_text)) || chr(10) || greatest(sha256(from_note || ':' || from_text), sha256(to_note || ':' || to_text))) AS source_hash, weight AS score
   FROM (SELECT * FROM told_links ORDER BY weight DESC, from_note, to_note LIMIT 120)
   UNION ALL SELECT 1, 'thread', theme_id, content_hash, score::DOUBLE FROM open_ WHERE status = 'open')
 SELECT kind, ref, source_hash, score FROM c WHERE source_hash NOT IN (SELECT content_hash FROM themes WHERE session_count % 3 = 0) ORDER BY branch, score DESC, ref LIMIT 60""",
-    "novelty_gate": """, p AS (SELECT 'prop:' || vec_id AS proposal_id, theme_id, vec, norm, note_id FROM notes WHERE label = 1 AND theme_id IS NOT NULL)
-, s AS (SELECT p.proposal_id, round(max(list_dot_product(p.vec, n.vec) / (p.norm * n.norm)), 6) AS novelty_sim FROM p LEFT JOIN notes n ON n.theme_id = p.theme_id AND (n.note_id <> p.note_id OR p.note_id < 'note:4') GROUP BY p.proposal_id)
+    "novelty_gate": """, p AS (SELECT 'prop:' || vec_id AS proposal_id, theme_id, vec, norm, note_id FROM notes WHERE theme_id IS NOT NULL)
+, few AS (SELECT * FROM notes WHERE theme_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY theme_id ORDER BY note_id) <= 10)
+, s AS (SELECT p.proposal_id, round(max(list_dot_product(p.vec, n.vec) / (p.norm * n.norm)), 6) AS novelty_sim FROM p LEFT JOIN few n ON n.theme_id = p.theme_id AND (n.note_id <> p.note_id OR p.note_id < 'note:4') GROUP BY p.proposal_id)
 SELECT proposal_id, novelty_sim, coalesce(novelty_sim > 0.9, false) AS is_paraphrase FROM s""",
     "dismissed_counts": "SELECT theme_ref, n_dismissed FROM dismissed",
     "recent_nudges": "SELECT theme_ref FROM recent",
@@ -222,19 +255,80 @@ UNION ALL SELECT 'status:' || status, count(*) FROM themes GROUP BY status UNION
     "orphan_embeddings": "SELECT note_id FROM notes WHERE vec_id % 13 = 0",
     "dangling_links": "SELECT link_id, from_note, to_note FROM links WHERE from_note IN (SELECT note_id FROM notes WHERE vec_id % 13 = 0) OR to_note IN (SELECT note_id FROM notes WHERE vec_id % 13 = 0)",
     "pipeline_drift": "SELECT count(DISTINCT session_id) AS n_sessions FROM notes WHERE vec_id % 9 = 0",
-    "storage_report": """SELECT 'messages' AS table_name, 'raw' AS data_class, count(*) AS n_rows, sum(length(text))::BIGINT AS n_chars FROM messages
-UNION ALL SELECT 'notes', 'derived', count(*), coalesce(sum(length(text)), 0)::BIGINT FROM notes UNION ALL SELECT 'themes', 'derived', count(*), coalesce(sum(length(label)), 0)::BIGINT FROM themes
-UNION ALL SELECT 'proposals', 'judgment', count(*), coalesce(sum(length(title)), 0)::BIGINT FROM proposals""",
+    "storage_report": "SELECT * FROM storage",
     "refresh_stats": """, d AS (SELECT count(*) AS todo, count_if(conv_id % 10 > 1)::BIGINT AS ok, count_if(conv_id % 10 = 1)::BIGINT AS zero_note, count_if(conv_id % 10 = 0)::BIGINT AS failed, 0::BIGINT AS cold FROM sessions)
 , a AS (SELECT count_if(session_count > 1)::BIGINT AS label_cached, 0::BIGINT AS label_llm, count_if(session_count <= 1)::BIGINT AS label_fallback FROM themes)
 , s AS (SELECT 0::BIGINT AS status_ok, count_if(status <> 'unknown')::BIGINT AS status_heuristic, 0::BIGINT AS status_error, count_if(status = 'unknown')::BIGINT AS status_na FROM themes)
 SELECT *, label_fallback > 0 OR status_heuristic > 0 AS degraded FROM d, a, s""",
     "jsonl_sessions": _READ_BACK,
     "log_sessions": _READ_BACK,
-    "export_sessions": """, x AS (SELECT session_id, idx, role, regexp_replace(text, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS text FROM told)
+    "export_sessions": _READ_STRIPPED,
+    "composer_bubbles": _READ_STRIPPED,
+    "kv_tabs": _READ_STRIPPED,
+    "kv_spellings": f""", x AS (SELECT conv_id, idx, role, {_STRIPPED.format("text")} AS text FROM told WHERE conv_id % 6 <> 5)
+SELECT conv_id::VARCHAR AS native_id, 1760000000 + conv_id AS started_s, count(*) AS n_messages, sha256(string_agg(role || ':' || text, chr(10) ORDER BY idx)) AS content_sha FROM x GROUP BY conv_id""",
+    "meta_sessions": """, x AS (SELECT session_id, conv_id, idx, role, CASE WHEN conv_id % 3 = 0 AND idx = 0 THEN '<system-reminder>' || repeat('z', 250) || '</system-reminder>You are a completeness critic. ' || text ELSE text END AS text FROM told
+  WHERE NOT (conv_id % 3 = 0 AND conv_id IN (SELECT conv_id FROM told WHERE idx = 0 AND role = 'user')))
 SELECT session_id, count(*) AS n_messages, sha256(string_agg(role || ':' || text, chr(10) ORDER BY idx)) AS content_sha FROM x GROUP BY session_id""",
-    "composer_bubbles": _READ_BACK,
-    "kv_tabs": _READ_BACK,
+    "lacking_embeddings": "SELECT note_id FROM notes WHERE vec_id % 5 = 3",
+    "embed_missing": """, j AS (SELECT note_id, j, CAST('0x' || substr(sha256(j || ':' || text), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE - 0.5::DOUBLE AS x FROM notes, (SELECT unnest(range(384))::INTEGER AS j) WHERE vec_id % 5 = 3)
+, e AS (SELECT note_id, max(x) FILTER (WHERE j = 0) / sqrt(sum(x * x)) AS a, max(x) FILTER (WHERE j = 383) / sqrt(sum(x * x)) AS b FROM j GROUP BY note_id)
+SELECT note_id, 384 AS dim, round(a::FLOAT::DOUBLE, 5) AS x0, round(b::FLOAT::DOUBLE, 5) AS x_last FROM e UNION ALL SELECT note_id, 1, 1.0::DOUBLE, 1.0::DOUBLE FROM notes WHERE vec_id % 5 <> 3""",
+    "notes_version": "SELECT session_id, CASE WHEN sess_no % 4 = 0 THEN 2 ELSE 1 END AS pipeline_version, count(*) AS n, sum(length(text) + CASE WHEN sess_no % 4 = 0 THEN 4 ELSE 0 END)::BIGINT AS n_chars FROM notes GROUP BY ALL",
+    "replace_user_themes": "SELECT 'u' || (length(theme_id) % 3) AS user_id, CASE WHEN length(theme_id) % 3 = 0 THEN 'new:' || theme_id ELSE theme_id END AS theme_id, session_count FROM themes WHERE length(theme_id) % 3 <> 1",
+    "label_cache": """, p AS (SELECT theme_id, string_agg('- ' || text, chr(10) ORDER BY note_id) AS prompt FROM (SELECT * FROM notes WHERE theme_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY theme_id ORDER BY note_id) <= 40) GROUP BY theme_id)
+, w AS (SELECT t.*, p.prompt, CASE WHEN session_count > 3 THEN 'cached' WHEN contains(length(prompt)::VARCHAR, '7') THEN 'fallback' ELSE 'llm' END AS way FROM themes t JOIN p USING (theme_id))
+SELECT theme_id, CASE way WHEN 'cached' THEN 'cached ' || theme_id WHEN 'llm' THEN length(prompt) || ' characters' ELSE label END AS label, CASE way WHEN 'cached' THEN 's' WHEN 'llm' THEN substr(prompt, 1, 20) ELSE '' END AS summary, way FROM w""",
+    "status_cache": f""", p AS (SELECT theme_id, length(string_agg(text, chr(10) ORDER BY note_id)) % 4 AS m FROM notes WHERE theme_id IS NOT NULL GROUP BY theme_id)
+, v AS (SELECT theme_id, last_us < {NOW - 60 * DAY} AS stale, CASE WHEN session_count < 2 OR span_days < 14 THEN 'na' WHEN theme_id LIKE 'theme:3-%' OR m < 2 THEN 'ok' WHEN m = 3 THEN 'error' ELSE 'heuristic' END AS way,
+  CASE WHEN session_count < 2 OR span_days < 14 THEN NULL WHEN theme_id LIKE 'theme:3-%' OR m = 0 THEN 'resolved' WHEN m = 1 THEN 'open' END AS verdict FROM rollup_ JOIN p USING (theme_id))
+SELECT theme_id, CASE WHEN way IN ('na', 'error') THEN 'unknown' WHEN coalesce(verdict, 'open') = 'open' AND stale THEN 'dormant' ELSE coalesce(verdict, 'open') END AS status, verdict, way FROM v""",
+    "link_reasons": "SELECT link_id, coalesce(why, length('A: ' || from_text || chr(10) || 'B: ' || to_text) || ' characters in common') AS why FROM told_links",
+    "connections_of_theme": """, f AS (SELECT min(from_theme) AS x FROM links)
+SELECT link_id, from_note, to_note, from_text, to_text, from_source, to_source, weight, gap_days, why FROM told_links, f WHERE from_theme = x OR to_theme = x ORDER BY weight DESC, from_note, to_note LIMIT 20""",
+    "rate_proposals": "SELECT proposal_id, outcome, rating_note, rated_us, rated_via FROM rated",
+    "mute_unmute": f"""SELECT label_lc FROM (SELECT label_lc FROM muted UNION SELECT lower({_STRIPPED.format("label")}) FROM labelled WHERE theme_id LIKE '%-2')
+WHERE label_lc NOT IN (SELECT lower({_STRIPPED.format("label")}) FROM labelled WHERE theme_id LIKE 'theme:1-%')""",
+    "digest_insert": "SELECT digest_id, created_us, item_count FROM digests",
+    "digest_outcomes": "SELECT n, theme_id AS ref, CASE n WHEN 1 THEN 'kept' WHEN 2 THEN 'dismissed' ELSE 'shown' END AS outcome, CASE n WHEN 1 THEN 5 WHEN 2 THEN 7 END::BIGINT AS acted_us FROM fresh",
+    "latest_digest": "SELECT digest_id, created_us, item_count FROM digests ORDER BY digest_id DESC LIMIT 1",
+    "meta_and_health": """, h AS (SELECT provider || '/' || model AS key, cooldown::DECIMAL(20, 1)::VARCHAR || ',' || CASE WHEN k % 3 = 0 THEN '0.25' ELSE '-' END || ',' || (k % 4) || ',' || calls AS value FROM health)
+SELECT key, value FROM h WHERE key NOT IN ('p0/m0', 'p1/m1', 'p9/m99') UNION ALL SELECT * FROM (VALUES ('p0/m0', '5.0,-,0,3'), ('p1/m1', '0.0,-,0,4'), ('p9/m99', '1.5,-,0,0'), ('a', '1'), ('b', '3'), ('c', '4'))""",
+    "llm_traffic": "SELECT provider, model, calls, calls * 100 AS sent_bytes, calls * 7 AS recv_bytes FROM health WHERE calls > 0",
+    "rebuild_derived": """SELECT 'notes' AS table_name, 0::BIGINT AS n_left, count(*) AS n_discarded FROM notes UNION ALL SELECT 'themes', 0, count(*) FROM rollup_ UNION ALL SELECT 'links', 0, count(*) FROM links
+UNION ALL SELECT 'sessions', count(*), NULL FROM sessions UNION ALL SELECT 'proposals', count(*), NULL FROM proposals UNION ALL SELECT 'embed_dim', NULL, NULL""",
+    "proposals_data": "SELECT proposal_id, title, feasibility, outcome, reject_reason, rated_via, rating_note FROM rated",
+    "doctor_checks": """, n AS (SELECT * FROM notes WHERE vec_id % 13 <> 0), o AS (SELECT count(*) AS c FROM notes WHERE vec_id % 13 = 0)
+, d AS (SELECT count(*) AS c FROM links WHERE from_note NOT IN (SELECT note_id FROM n) OR to_note NOT IN (SELECT note_id FROM n)), v AS (SELECT count(DISTINCT session_id) AS c FROM n WHERE vec_id % 9 = 0)
+, b AS (SELECT count(*) AS c FROM health WHERE cooldown > 9e11)
+SELECT * FROM (VALUES ('concurrent readers', 'ok', 'tables are written whole and replaced whole', false), ('schema', 'warn', 'missing: mutes', true), ('store integrity', 'ok', 'keys are unique', false),
+  ('config permissions', 'warn', 'was 0644', true), ('digest flag', 'ok', 'no pending flag or a digest for it', false), ('provider key', 'fail', 'no key for offline', false), ('sources', 'ok', 'editors (1 files), logs (3 files)', false),
+  ('embedding model', 'ok', 'cached', false), ('last refresh', 'warn', '19 days ago', false)) AS x(name, status, detail, repairable)
+UNION ALL SELECT 'orphaned embeddings', CASE WHEN c > 0 THEN 'warn' ELSE 'ok' END, CASE WHEN c > 0 THEN c || ' rows without a note' ELSE 'none' END, c > 0 FROM o
+UNION ALL SELECT 'dangling links', CASE WHEN c > 0 THEN 'warn' ELSE 'ok' END, CASE WHEN c > 0 THEN c || ' links to missing notes' ELSE 'none' END, c > 0 FROM d
+UNION ALL SELECT 'model cooldowns', CASE WHEN c > 0 THEN 'warn' ELSE 'ok' END, CASE WHEN c > 0 THEN c || ' impossible cooldowns' ELSE 'none' END, c > 0 FROM b
+UNION ALL SELECT 'pipeline version', CASE WHEN c > 0 THEN 'warn' ELSE 'ok' END, CASE WHEN c > 0 THEN c || ' sessions distilled by an older pipeline' ELSE 'version 2 everywhere' END, false FROM v""",
+    "doctor_repair": """SELECT name, CASE name WHEN 'last refresh' THEN 'warn' ELSE 'ok' END AS status FROM (SELECT unnest(['concurrent readers', 'schema', 'store integrity', 'orphaned embeddings', 'dangling links', 'config permissions', 'digest flag',
+  'model cooldowns', 'provider key', 'sources', 'embedding model', 'last refresh', 'pipeline version']) AS name)""",
+    "themes_data": "SELECT * FROM data",
+    "themes_sorted": """SELECT * FROM (SELECT 'sessions/all' AS view, theme_id FROM data ORDER BY session_count DESC, theme_id LIMIT 8) UNION ALL SELECT * FROM (SELECT 'notes/open', theme_id FROM data WHERE status = 'open' AND NOT is_muted ORDER BY n_notes DESC, session_count DESC, theme_id LIMIT 8)
+UNION ALL SELECT * FROM (SELECT 'recent/muted', theme_id FROM data WHERE is_muted ORDER BY last_day DESC, session_count DESC, theme_id LIMIT 8)""",
+    "arcs_shown": "SELECT theme_id, first_us FROM themes WHERE status IN ('open', 'dormant') ORDER BY first_us, theme_id LIMIT 12",
+    "links_data": """, p AS (SELECT least(coalesce(from_theme, '?'), coalesce(to_theme, '?')) AS theme_a, greatest(coalesce(from_theme, '?'), coalesce(to_theme, '?')) AS theme_b,
+  count(*) AS n_links, round(max(weight), 3) AS max_weight, arg_max(link_id, (weight, from_note, to_note)) AS s FROM links GROUP BY ALL)
+SELECT theme_a, theme_b, n_links, max_weight, substr(from_text, 1, 200) AS from_text, from_source, substr(to_text, 1, 200) AS to_text, to_source, why FROM p JOIN told_links ON link_id = s""",
+    "digests_data": "SELECT digest_id, count(*) AS n_items, min('event ' || event_id) AS first_snapshot FROM log GROUP BY digest_id UNION ALL SELECT (SELECT max(digest_id) FROM digests), count(*), min(label) FROM fresh",
+    "search_notes": """, h AS (SELECT note_id, score FROM near ORDER BY score DESC, note_id LIMIT 12)
+SELECT h.note_id, substr(n.text, 1, 220) AS text, n.kind, n.source, strftime(make_timestamp(n.created_us), '%Y-%m-%d') AS date, round(h.score, 3) AS score, t.theme_id, t.label AS theme_label FROM h JOIN notes n ON n.note_id = h.note_id LEFT JOIN themes t ON t.theme_id = n.theme_id""",
+    "topics_listed": "SELECT theme_id, session_count FROM themes WHERE lower(trim(label)) NOT IN (SELECT label_lc FROM muted) ORDER BY session_count DESC, theme_id LIMIT 10",
+    "now_view": """, l AS (SELECT * FROM themes WHERE status IN ('open', 'dormant') ORDER BY session_count DESC, theme_id LIMIT 3), b AS (SELECT * FROM told_links ORDER BY weight DESC, from_note, to_note LIMIT 3)
+SELECT 0 AS branch, 1 AS n, 'themes: ' || count(*) AS line FROM themes UNION ALL SELECT 1, CAST(row_number() OVER (ORDER BY session_count DESC, theme_id) AS INTEGER), label || '  [' || status || '] · ' || session_count || ' sessions' FROM l
+UNION ALL SELECT 2, CAST(row_number() OVER (ORDER BY weight DESC, from_note, to_note) AS INTEGER), substr(from_text, 1, 52) || ' ↔ ' || substr(to_text, 1, 52) FROM b UNION ALL SELECT 3, 1, 'the last refresh was degraded: labels and statuses may be incomplete'""",
+    "recall_warnings": "SELECT * FROM (VALUES ('never', 'no refresh has run yet: only what was distilled is seen'), ('degraded', 'the last refresh was degraded: labels and statuses may be incomplete')) AS x(state, warning)",
+    "status_report": "SELECT data_class, sum(n_rows)::BIGINT AS n_rows, sum(n_chars)::BIGINT AS n_chars FROM storage GROUP BY data_class",
+    "emitted_themes": """SELECT theme_id AS key, '{"theme_id":"' || theme_id || '","session_count":' || session_count || ',"status":"' || status || '"}' AS json FROM themes""",
+    "clamp_limit": "SELECT n_nationkey, CAST(greatest(1, least(25, n_nationkey * 3 - 9)) AS INTEGER) AS n FROM nation",
+    "demo_seed": "SELECT * FROM (VALUES ('first/embeddings', 5), ('first/links', 2), ('first/meta', 1), ('first/notes', 5), ('first/proposals', 1), ('first/sessions', 5), ('first/themes', 3), ('again/embeddings', 0), ('again/links', 0), ('again/meta', 0), ('again/notes', 0), ('again/proposals', 0), ('again/sessions', 0), ('again/themes', 0)) AS x(part, n_rows)",
     "stream_ingest": "SELECT session_id, count(*) AS n_messages, sha256(string_agg(role || ':' || text, chr(10) ORDER BY idx)) AS content_sha FROM told WHERE conv_id % 2 = 0 OR idx < 2 GROUP BY session_id",
 }
 

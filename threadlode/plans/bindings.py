@@ -93,8 +93,10 @@ class Tables:
 
     @cached_property
     def links(self) -> DataFrame:
-        """A derived table of at most 200 rows, written once."""
-        return materialize(link_ops.links(self.notes, FLOOR), "links")
+        """A derived table of at most 200 rows, written once; a quarter of them were explained before."""
+        rows = link_ops.links(self.notes, FLOOR)
+        why = F.when(F.col("link_id").rlike("[0-3]$"), F.concat(F.lit("explained: "), "to_note"))
+        return materialize(rows.withColumn("why", why), "links")
 
     @cached_property
     def proposals(self) -> DataFrame:
@@ -109,13 +111,33 @@ class Tables:
 
     @cached_property
     def digest_log(self) -> DataFrame:
-        """Items of weekly digests: events of a week, numbered; a click was kept and an error dismissed."""
+        """Items of weekly digests: the events of a week. Of themes that end in 0, 3 or 6 a third of the items was dismissed;
+        of all a third was kept, and the rest was only shown."""
         e = self.raw("events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "user_id", "event_type")
         first = e.agg(F.min("ts_us").alias("first_us"))
         rows = e.join(F.broadcast(first)).withColumn("digest_id", F.expr(f"(ts_us - first_us) div {7 * DAY_US} + 1"))  # one row
-        outcome = F.when(F.col("event_id") % 3 == 0, "dismissed").when(F.col("event_id") % 3 == 1, "kept").otherwise("shown")
+        outcome = F.when((F.col("event_id") % 3 == 0) & (F.col("event_id") % 8).isin(0, 3, 6), "dismissed").when(F.col("event_id") % 3 == 1, "kept").otherwise("shown")
         return rows.select("digest_id", "event_id", "ts_us", F.concat(F.lit("theme:"), (F.col("user_id") % 10).cast("string"), F.lit("-"), (F.col("event_id") % 8).cast("string")).alias("theme_ref"), F.when(F.col("event_id") % 2 == 0, "nudge").otherwise("connection").alias("kind"), outcome.alias("outcome"))
 
+    @cached_property
+    def commits(self) -> DataFrame:
+        """Commits that carry out what was talked about: the benchmark's texts."""
+        return self.raw("benchmark").select(F.col("item_id").alias("pos"), F.concat(F.lit("c"), F.col("item_id").cast("string")).alias("sha"), F.col("text").alias("message"))
+
+    @cached_property
+    def health(self) -> DataFrame:
+        """A model's record for each nation: every fifth was never called, every seventh cools down for ever."""
+        n = self.raw("nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_regionkey").cast("long").alias("r"))
+        calls = F.when(F.col("k") % 5 == 0, 0).otherwise(F.expr("k * 13 % 7 + 1")).cast("long")
+        until = F.when(F.col("k") % 7 == 3, 9e12).otherwise(F.when(F.col("k") % 2 == 0, 0.0).otherwise(NOW_US / 1e6 + 60))
+        return n.select(
+            F.concat(F.lit("p"), F.col("r").cast("string")).alias("provider"), F.concat(F.lit("m"), F.col("k").cast("string")).alias("model"), until.alias("cooldown_until"), (F.col("k") % 4).cast("int").alias("rung"),
+            (F.col("k") % 3).cast("int").alias("consecutive"), F.when(F.col("k") % 3 == 0, 0.25).alias("est_rate"), F.lit(0.0).alias("last_success"), F.lit(0.0).alias("last_call"), calls.alias("calls"), (calls * 100).alias("sent_bytes"), (calls * 7).alias("recv_bytes"),
+        )
+
+    def meta(self, **values: str) -> DataFrame:
+        return self.spark.createDataFrame([*values.items()], "key string, value string")
+
     def vector(self, vec_id: int = 0) -> list[float]:
         row = self.raw("embeddings").where(F.col("vec_id") == vec_id).select(doubles(F.col("embedding")).alias("v")).first()
         return row["v"] if row else [0.0]

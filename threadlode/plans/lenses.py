@@ -7,12 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlode.functions.ids import DAY_US
 from threadlode.functions.text import excerpt, word_set
 from threadlode.functions.vectors import nearest
 from threadlode.operators import links as link_ops
+from threadlode.session import materialize
 
 SEARCH_K, HOT = 25, 0.15
+#: Commits that hits are compared with, and the words one has to share.
+COMMITS, SHARED_WORDS = 300, 3
+#: Sentences that users read.
+IMPLEMENTED, ADDRESSED = "possibly implemented in ", " · a local commit may have addressed this"
+CAUTION = "Treat this as prior context, not ground truth — verify against the current code."
 
 
 def day(us: str):
@@ -43,7 +48,7 @@ def recall_themes(hot: DataFrame, notes: DataFrame, themes: DataFrame) -> DataFr
 
 
 def recall_bridges(hot: DataFrame, notes: DataFrame, links: DataFrame, top: int = link_ops.TOP) -> DataFrame:
-    """Of the best links those with a hot end, by weight plus the hotter end's score."""
+    """Of the best links those with a hot end, by weight plus the hotter end's score; a stored reason (``why``) is told."""
     end = lambda c, s: hot.select(F.col("note_id").alias(c), F.col("score").alias(s))
     rows = link_ops.with_notes(link_ops.best(links, top), notes).join(end("from_note", "s1"), "from_note", "left").join(end("to_note", "s2"), "to_note", "left")
     rows = rows.where("s1 is not null or s2 is not null")
@@ -52,7 +57,7 @@ def recall_bridges(hot: DataFrame, notes: DataFrame, links: DataFrame, top: int
     score = F.round(F.col("weight") + F.greatest(F.coalesce("s1", F.lit(0.0)), F.coalesce("s2", F.lit(0.0))), 6)
     return rows.select(
         F.lit("connection").alias("kind"), F.col("link_id").alias("ref"), F.concat(F.substring("from_text", 1, 60), F.lit(" ↔ "), F.substring("to_text", 1, 60)).alias("title"),
-        F.col("to_text").alias("summary"), F.concat(F.lit("bridge across "), tools, apart).alias("why"), score.alias("score"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("date_range"),
+        F.col("to_text").alias("summary"), F.when(F.length("why") > 0, F.col("why")).otherwise(F.concat(F.lit("bridge across "), tools, apart)).alias("why"), score.alias("score"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("date_range"),
         F.array(note_source("from_source", "from_created_us", "from_session_id"), note_source("to_source", "to_created_us", "to_session_id")).alias("sources"), F.array("from_note", "to_note").alias("cites"),
     )
 
@@ -68,14 +73,17 @@ def recall_notes(hot: DataFrame, notes: DataFrame, cited: DataFrame, room) -> Da
     )
 
 
-def recall(notes: DataFrame, themes: DataFrame, links: DataFrame, query: Sequence[float], limit: int = 5) -> DataFrame:
+def recall(notes: DataFrame, themes: DataFrame, links: DataFrame, query: Sequence[float], limit: int = 5, commits: DataFrame | None = None) -> DataFrame:
     """The best ``limit`` hits of three kinds. If a bridge exists and none made it, the best one takes the last place.
 
+    With ``commits(pos, sha, message)``, newest first by pos, a hit that shares enough words with one points to it
+    (``git_ref``), and an open one says so in its reason.
+
     Everything after the nearest-neighbour scan works on at most 25 notes and the best 200 links.
     """
-    hot = hot_notes(notes, query)
-    best_themes = recall_themes(hot, notes, themes).orderBy(F.desc("score"), "ref").limit(max(1, limit - 1))
-    bridges = recall_bridges(hot, notes, links)
+    hot = materialize(hot_notes(notes, query), "hot-notes")  # each of these is used several times, and small
+    best_themes = materialize(recall_themes(hot, notes, themes).orderBy(F.desc("score"), "ref").limit(max(1, limit - 1)), "hot-themes")
+    bridges = materialize(recall_bridges(hot, notes, links), "hot-bridges")
     both = best_themes.unionByName(bridges)
     cited = both.select(F.explode("cites").alias("note_id")).distinct()
     room = both.agg((F.lit(limit + 2) - F.count("*")).alias("room"))
@@ -87,15 +95,27 @@ def recall(notes: DataFrame, themes: DataFrame, links: DataFrame, query: Sequenc
     ranked = ranked.withColumn("bridge", first_bridge)
     swap = (F.col("n") > limit) & (F.col("bridge") > limit)
     taken = ranked.where(((F.col("k") <= limit) & ~(F.coalesce(swap, F.lit(False)) & (F.col("k") == limit))) | (F.coalesce(swap, F.lit(False)) & (F.col("k") == F.col("bridge"))))
-    return taken.withColumn("rank", F.least("k", F.lit(limit)).cast("int")).select("rank", "kind", "ref", "title", "summary", "why", "score", "status", "date_range", "sources", "cites")
+    hits = taken.withColumn("rank", F.least("k", F.lit(limit)).cast("int")).select("rank", "kind", "ref", "title", "summary", "why", "score", "status", "date_range", "sources", "cites")
+    return hits.withColumn("git_ref", F.lit(None).cast("string")) if commits is None else with_commits(hits, commits)
+
+
+def with_commits(hits: DataFrame, commits: DataFrame) -> DataFrame:
+    """``hits`` with ``git_ref``, a pointer to verify and not a claim."""
+    last = commits.orderBy("pos").limit(COMMITS)
+    found = commit_references(with_words(hits, "title", "summary"), with_words(last, "message"), SHARED_WORDS).select("ref", "pos")
+    told = found.join(last, "pos").select("ref", F.concat(F.lit(IMPLEMENTED), "sha", F.lit(" — “"), "message", F.lit("”")).alias("git_ref"))
+    rows = hits.join(told, "ref", "left")
+    why = F.when((F.col("status") == "open") & F.col("git_ref").isNotNull(), F.concat("why", F.lit(ADDRESSED))).otherwise(F.col("why"))
+    return rows.withColumn("why", why).select(*hits.columns, "git_ref")
 
 
 def handoff(hits: DataFrame, query: str) -> DataFrame:
     """One row: a text block to paste elsewhere."""
     status = F.when(F.col("status").isNotNull(), F.concat(F.lit(" ["), F.col("status"), F.lit("]"))).otherwise("")
-    block = F.concat(F.col("rank").cast("string"), F.lit(". "), F.col("title"), status, F.lit(" — "), F.col("summary"), F.lit("\n   why: "), F.col("why"), F.lit("\n   sources: "), F.array_join("sources", "; "))
+    git = F.coalesce(F.concat(F.lit("\n   "), "git_ref"), F.lit(""))
+    block = F.concat(F.col("rank").cast("string"), F.lit(". "), F.col("title"), status, F.lit(" — "), F.col("summary"), F.lit("\n   why: "), F.col("why"), git, F.lit("\n   sources: "), F.array_join("sources", "; "))
     g = hits.select("rank", block.alias("block"), "cites").agg(F.array_sort(F.collect_list(F.struct("rank", "block"))).alias("b"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("cites")))).alias("c"))
-    text = F.concat(F.lit(f"Relevant prior context (query: “{query}”):\n\n"), F.array_join(F.transform("b", lambda x: x["block"]), "\n"), F.lit("\ncites: "), F.array_join("c", ", "))
+    text = F.concat(F.lit(f"Relevant prior context (query: “{query}”):\n\n"), F.array_join(F.transform("b", lambda x: x["block"]), "\n"), F.lit(f"\n\n{CAUTION}\ncites: "), F.array_join("c", ", "))
     return g.select(F.when(F.size("b") > 0, text).otherwise(F.lit(f"no prior context found for “{query}”")).alias("handoff"))
 
 
@@ -106,8 +126,11 @@ def ask(notes: DataFrame, themes: DataFrame, query: Sequence[float]) -> DataFram
     return top.join(member, "note_id").orderBy("theme_id").limit(1).select("theme_id", "label", "status", "session_count")
 
 
-def topic_themes(notes: DataFrame, themes: DataFrame, muted: DataFrame, query: Sequence[float], k: int = 50, limit: int = 10) -> DataFrame:
-    """Unmuted themes by how many of the ``k`` nearest notes they hold."""
+def topic_themes(notes: DataFrame, themes: DataFrame, muted: DataFrame, query: Sequence[float] | None = None, k: int = 50, limit: int = 10) -> DataFrame:
+    """Unmuted themes by how many of the ``k`` nearest notes they hold; without a query all, by their sessions."""
+    if query is None:
+        heard = themes.join(muted, F.lower(F.trim("label")) == F.col("label_lc"), "left_anti").withColumn("n_hits", F.lit(None).cast("long"))
+        return heard.orderBy(F.desc("session_count"), "theme_id").limit(limit).select("theme_id", "label", "status", "session_count", "n_hits")
     member = themes.select("theme_id", "label", "status", "session_count", F.explode("note_ids").alias("note_id"))
     found = nearest(notes, query, k).join(member, "note_id").join(muted, F.lower(F.trim("label")) == F.col("label_lc"), "left_anti")
     return found.groupBy("theme_id", "label", "status", "session_count").agg(F.count("*").alias("n_hits")).orderBy(F.desc("n_hits"), "theme_id").limit(limit)
@@ -122,9 +145,11 @@ def find_connections(notes: DataFrame, links: DataFrame, query: Sequence[float],
     return rows.select("link_id", F.substring("from_text", 1, 400).alias("from_text"), F.substring("to_text", 1, 400).alias("to_text"), F.round("weight", 3).alias("weight"))
 
 
-def connections(notes: DataFrame, links: DataFrame, limit: int = 20) -> DataFrame:
-    rows = link_ops.with_notes(link_ops.best(links, limit), notes)
-    return rows.select("link_id", "from_note", "to_note", "from_text", "to_text", "from_source", "to_source", "weight", "gap_days")
+def connections(notes: DataFrame, links: DataFrame, limit: int = 20, theme: str | None = None) -> DataFrame:
+    """The best links, or the best of those that ``theme`` has a part in."""
+    own = links if theme is None else links.where((F.col("from_theme") == theme) | (F.col("to_theme") == theme))
+    rows = link_ops.with_notes(link_ops.best(own, limit), notes)
+    return rows.select("link_id", "from_note", "to_note", "from_text", "to_text", "from_source", "to_source", "weight", "gap_days", "why")
 
 
 def label_search(themes: DataFrame, query: str, limit: int = 10) -> DataFrame:
@@ -140,7 +165,7 @@ def show_source(notes: DataFrame, sessions: DataFrame) -> DataFrame:
     return rows.select("note_id", "session_id", "title", excerpt(F.col("span_ref"), F.col("messages")).alias("excerpt"))
 
 
-def commit_references(hits: DataFrame, commits: DataFrame, least: int = 3) -> DataFrame:
+def commit_references(hits: DataFrame, commits: DataFrame, least: int = SHARED_WORDS) -> DataFrame:
     """For each hit (ref, words) the earliest commit (pos, sha, message) with the most words in common, if at least ``least``.
 
     The join is on words, so only pairs with a word in common meet; their number is what the overlap counts.
@@ -153,7 +178,3 @@ def commit_references(hits: DataFrame, commits: DataFrame, least: int = 3) -> Da
 
 def with_words(rows: DataFrame, *text: str) -> DataFrame:
     return rows.withColumn("words", word_set(F.concat_ws(" ", *text)))
-
-
-def days_between(us_a, us_b):
-    return F.floor((us_a - us_b) / F.lit(float(DAY_US)))

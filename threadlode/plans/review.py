@@ -16,7 +16,7 @@ PARAPHRASE = 0.90
 
 def hit_rate(kept: Column, dismissed: Column) -> Column:
     """Whole percent of judged proposals that were kept; null if none was judged."""
-    return F.expr("null").cast("long") if kept is None else F.floor(100 * kept / F.nullif(kept + dismissed, F.lit(0))).cast("long")
+    return F.floor(100 * kept / F.nullif(kept + dismissed, F.lit(0))).cast("long")
 
 
 def outcome_counts(proposals: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def candidates(links: DataFrame, notes: DataFrame, themes: DataFrame, used: Data
     """Material for new proposals: the best links, then open unmuted threads, whose material was not ``used(source_hash)``."""
     rows = link_ops.with_notes(link_ops.best(links, 2 * limit), notes)
     line = lambda p: F.concat_ws(":", f"{p}_note", f"{p}_text")
-    by_link = rows.select(F.lit(0).alias("branch"), F.lit("connection").alias("kind"), F.col("link_id").alias("ref"), members_hash(F.array(line("from"), line("to"))).alias("source_hash"), F.col("weight").alias("score"))
+    by_link = rows.select(F.lit(0).alias("branch"), F.lit("connection").alias("kind"), F.col("link_id").alias("ref"), members_hash(F.array(F.sha2(line("from"), 256), F.sha2(line("to"), 256))).alias("source_hash"), F.col("weight").alias("score"))
     open_ = theme_ops.unfinished(themes, muted)
     by_theme = open_.select(F.lit(1).alias("branch"), F.lit("thread").alias("kind"), F.col("theme_id").alias("ref"), F.col("content_hash").alias("source_hash"), F.col("score").cast("double").alias("score"))
     fresh = by_link.union(by_theme).join(used.select("source_hash"), "source_hash", "left_anti")
@@ -62,6 +62,12 @@ def recent_nudges(log: DataFrame, digests: int = COOLDOWN) -> DataFrame:
     return log.where("kind = 'nudge'").join(F.broadcast(last), "digest_id", "left_semi").select("theme_ref").distinct()
 
 
+def dead_themes(themes: DataFrame, muted: DataFrame, log: DataFrame) -> DataFrame:
+    """(theme_ref) of themes that were dismissed too often or whose label is muted."""
+    silent = themes.join(muted.select("label_lc"), F.lower(F.trim("label")) == F.col("label_lc"), "left_semi").select(F.col("theme_id").alias("theme_ref"))
+    return dismissed_themes(log).select("theme_ref").union(silent).distinct()
+
+
 def digest_connections(links: DataFrame, notes: DataFrame, shown: DataFrame, blocked: DataFrame, budget: int = CONNECTIONS) -> DataFrame:
     """Never-shown links of the best 100 of which at least one theme is live; shown ones leave after the cut to 100."""
     fresh = link_ops.best(links, 100).join(shown.select(F.col("ref").alias("link_id")), "link_id", "left_anti")
