@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -54,12 +56,47 @@ def test_table(spark):
     assert out.columns == docs.columns and out.count() == len(rows)
 
 
-def test_sources_beyond_the_bound_share_a_class(spark):
-    df = spark.createDataFrame([(k, f"s{k % 40}") for k in range(400)], "doc_id long, source string")
-    got = mixing.mix(df, most_sources=5, block_docs=4).collect()
-    assert sorted(r["position"] for r in got) == list(range(400))
+def test_every_source_keeps_its_weight_beyond_the_bound(spark):
+    """40 sources, 5 alone and the others in 3 classes: prefixes stay near each source's weight while all have blocks."""
+    r = random.Random(1)
+    rows = [(k, f"s{min(int(r.expovariate(0.08)), 39)}") for k in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    got = mixing.mix(df, power=1.0, most_alone=5, shared=3, block_docs=4).collect()
+    assert sorted(x["doc_id"] for x in got) == list(range(6000)) and sorted(x["position"] for x in got) == list(range(6000))
+    slots = {}
+    for x in got:
+        slots.setdefault(x["slot"], set()).add(x["source"])
+    assert sorted(slots) == list(range(len(slots))) and all(len(x) == 1 for x in slots.values())
+    for s in {x["source"] for x in got}:  # a source's blocks come in order
+        own = sorted((x["slot"], x["block"]) for x in got if x["source"] == s)
+        assert [b for _, b in own] == sorted(b for _, b in own)
+    # weights as counts: in every prefix each source is near its share, so the small ones have weights of their own
+    order = [slots[t].copy().pop() for t in range(len(slots))]
+    total, had = {s: order.count(s) for s in {*order}}, dict.fromkeys(order, 0)
+    worst = 0.0
+    for t, s in enumerate(order, 1):
+        had[s] += 1
+        worst = max(worst, *(abs(had[x] - t * total[x] / len(order)) for x in total))
+    assert worst < 4  # two blocks by the schedules, and what rounding weights to parts adds over the whole
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.sampled_from("abcdefg"), st.tuples(st.integers(1, 9), st.integers(1, 50)), min_size=1))
+def test_schedule_gives_each_block_one_slot(sources):
+    import numpy as np
+
+    plan = mixing.Schedule({s: p for s, (p, _) in sources.items()}, {s: n for s, (_, n) in sources.items()})
+    own = {s: plan.slots(s, np.arange(n)) for s, (_, n) in sources.items()}
+    assert sorted(np.concatenate([*own.values()])) == list(range(sum(n for _, n in sources.values())))
+    assert all((np.diff(x) > 0).all() for x in own.values())
+
+
+def test_one_doc_id_for_all_and_no_source(spark):
+    df = spark.createDataFrame([(None, None)] * 300, "doc_id long, source string").repartition(3)
+    got = mixing.mix(df, block_docs=16).collect()
+    assert sorted(x["position"] for x in got) == list(range(300)) and {x["source"] for x in got} == {None}
 
 
 def test_parts():
-    parts = mixing.temperature_parts({"a": 1000, "b": 10, "c": 1}, 0.5)
+    parts = mixing.rounded_parts({"a": 1000**0.5, "b": 10**0.5, "c": 1})
     assert sum(parts.values()) == mixing.PARTS and parts["a"] > parts["b"] > parts["c"] >= 1

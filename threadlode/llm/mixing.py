@@ -7,14 +7,26 @@ each source is less than one block away from its weight. The schedule repeats af
 computed, however many blocks there are. When a source has no blocks left, its phase ends and the next one begins with
 the others' parts: every document is placed exactly once and none is repeated or dropped.
 
-Only counts per source reach the driver. Sources beyond ``most_sources`` by count share one class (documented bound).
+Up to ``MOST_ALONE + SHARED`` sources are scheduled side by side. With more, the ``MOST_ALONE`` largest keep classes of
+their own, and all others are dealt into ``SHARED`` classes by hash: a class has its sources' weights and blocks together,
+and its own blocks go to its sources by a further Pfair schedule, made on an executor. So every source has its weight at
+any number of sources; one in a shared class is less than a block away from its share of the class, and the class less
+than a block from its weight, so that it may be up to two blocks away in all. A class's schedule takes time in proportion
+to the square of its sources: some 1,000 of them (130,000 sources in all) take seconds.
+
+Only classes reach the driver, at most ``MOST_ALONE + SHARED``. Of the schedule a task is sent arrays: for each phase
+(one ends with each class) the slots of one period, and how many blocks each class has had before.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from math import gcd
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +35,7 @@ from threadlode.session import materialize
 #: Parts that temperature weights are rounded to: the length of a period.
 PARTS = 1024
 BLOCK_DOCS = 64
-MOST_SOURCES = 256
+MOST_ALONE, SHARED = 128, 127
 
 
 def pfair(parts: dict[str, int]) -> list[str]:
@@ -45,48 +57,81 @@ def pfair(parts: dict[str, int]) -> list[str]:
     return out
 
 
-def temperature_parts(counts: dict[str, int], power: float, parts: int = PARTS) -> dict[str, int]:
-    """Parts in proportion to counts ** power, at least one each, by largest remainders."""
-    size = max(parts, 4 * len(counts))
-    raw = {s: n**power for s, n in counts.items()}
-    scale = (size - len(counts)) / sum(raw.values())
+def rounded_parts(raw: dict[str, float], parts: int = PARTS) -> dict[str, int]:
+    """Parts in proportion to ``raw``, at least one each, by largest remainders."""
+    size = max(parts, 4 * len(raw))
+    scale = (size - len(raw)) / sum(raw.values())
     out = {s: 1 + int(x * scale) for s, x in raw.items()}
-    left = sorted(raw, key=lambda s: (-(raw[s] * scale % 1), s))[: size - sum(out.values())]
-    for s in left:
+    for s in sorted(raw, key=lambda s: (-(raw[s] * scale % 1), s))[: size - sum(out.values())]:
         out[s] += 1
     return out
 
 
-def phases(parts: dict[str, int], blocks: dict[str, int]) -> list[tuple]:
-    """Rows (source, phase, first block, last block + 1, k in period, parts, phase's first slot, period, slot in period)."""
-    left, done, rows, base, phase = dict(blocks), {s: 0 for s in blocks}, [], 0, 0
-    while left := {s: n for s, n in left.items() if n}:
-        unit = gcd(*(parts[s] for s in left))
-        own = {s: parts[s] // unit for s in left}
-        period = pfair(own)
-        slots: dict[str, list[int]] = {s: [] for s in left}
-        for t, s in enumerate(period):
-            slots[s].append(t)
-        # the phase ends after the slot with the last block of the source that ends first
-        end = min((n - 1) // own[s] * len(period) + slots[s][(n - 1) % own[s]] + 1 for s, n in left.items())
-        full, rest = divmod(end, len(period))
-        for s in left:
-            used = full * own[s] + sum(t < rest for t in slots[s])
-            rows += [(s, phase, done[s], done[s] + used, k, own[s], base, len(period), t) for k, t in enumerate(slots[s])]
-            done[s] += used
-            left[s] -= used
-        base, phase = base + end, phase + 1
-    return rows
-
-
-def _slot(schedule: list[tuple], source: str, block: int) -> int:
-    for s, _, low, high, k, own, base, period, t in schedule:
-        if s == source and low <= block < high and (block - low) % own == k:
-            return base + (block - low) // own * period + t
-    raise ValueError(f"{source} has no block {block}")
-
-
-def mix(docs: DataFrame, weights: dict[str, int] | None = None, power: float = 0.7, block_docs: int = BLOCK_DOCS, most_sources: int = MOST_SOURCES, seed: int = 42) -> DataFrame:
+class Schedule:
+    """Slots of the blocks of each source: ``slots(source, blocks)``; all phases until every block has one."""
+
+    def __init__(self, parts: dict[str, int], blocks: dict[str, int]):
+        self.number = {s: k for k, s in enumerate(sorted(blocks))}
+        left, base = dict(blocks), 0
+        self.phases: list[tuple] = []  # first slot, period, slots in the period by source, where each source's begin
+        had = [np.zeros(len(blocks), np.int64)]  # blocks that each source had before each phase
+        while left := {s: n for s, n in left.items() if n}:
+            unit = gcd(*(parts[s] for s in left))
+            own = {s: parts[s] // unit for s in left}
+            period = np.array([self.number[s] for s in pfair(own)])
+            order = np.argsort(period, kind="stable").astype(np.int32)
+            ends = np.searchsorted(period[order], np.arange(len(blocks) + 1)).astype(np.int32)
+            at = {s: order[ends[self.number[s]] : ends[self.number[s] + 1]] for s in left}
+            # the phase ends after the slot with the last block of the source that ends first
+            end = min((n - 1) // own[s] * len(period) + int(at[s][(n - 1) % own[s]]) + 1 for s, n in left.items())
+            full, rest = divmod(end, len(period))
+            used = np.zeros(len(blocks), np.int64)
+            for s in left:
+                used[self.number[s]] = full * own[s] + int((at[s] < rest).sum())
+                left[s] -= int(used[self.number[s]])
+            self.phases.append((base, len(period), order, ends))
+            had.append(had[-1] + used)
+            base += end
+        self.had = np.array(had)
+
+    def slots(self, source: str, block: np.ndarray) -> np.ndarray:
+        k = self.number[source]
+        phase = np.searchsorted(self.had[:, k], block, "right") - 1
+        out = np.empty(len(block), np.int64)
+        for p in np.unique(phase):
+            base, period, order, ends = self.phases[p]
+            mine = order[ends[k] : ends[k + 1]]
+            here = phase == p
+            turn, at = np.divmod(block[here] - self.had[p, k], len(mine))
+            out[here] = base + turn * period + mine[at]
+        return out
+
+
+def _numbered(df: DataFrame, order: list[str], groups: list[str], name: str) -> DataFrame:
+    """``df`` with ``number``: each row's place from 0 in ``order``, within ``groups``, which lead the order. Partitions are
+    ranges, so a group may span many; only counts by partition and group meet."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    kept = materialize(ranged.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")), name)
+    runs = kept.groupBy(*groups, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    bases = runs.select(*groups, "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return kept.join(bases, [*groups, "_part"]).withColumn("number", F.expr("_base + _at - _first")).drop("_part", "_at", "_base", "_first")
+
+
+def _classes(sizes: DataFrame, alone: int, shared: int, seed: int) -> DataFrame:
+    """``sizes(source_key, n, raw)`` with the class of each source."""
+    if sizes.count() <= alone + shared:
+        return sizes.withColumn("class", F.col("source_key"))
+    top = [r["source_key"] for r in sizes.orderBy(F.desc("n"), "source_key").limit(alone).collect()]
+    dealt = F.concat(F.lit("shared:"), F.pmod(F.xxhash64(F.lit(seed), "source_key"), F.lit(shared)).cast("string"))
+    return sizes.withColumn("class", F.when(F.col("source_key").isin(top), F.col("source_key")).otherwise(dealt))
+
+
+def _whole(raw: dict[str, float], exact: bool) -> dict[str, int]:
+    return {s: int(x) for s, x in raw.items()} if exact else rounded_parts(raw)
+
+
+def mix(docs: DataFrame, weights: dict[str, int] | None = None, power: float = 0.7, block_docs: int = BLOCK_DOCS, most_alone: int = MOST_ALONE, shared: int = SHARED, seed: int = 42) -> DataFrame:
     """One row per row of ``docs(doc_id, source)``: doc_id, source, block (of its source), slot, position.
 
     ``weights``: parts by source; sources it doesn't name share the class ``other`` with one part, or with the part
@@ -95,43 +140,50 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, power: float = 0
     Positions run from 0 without gaps; slots are blocks in their final order.
     """
     spark = docs.sparkSession
-    named = F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("source:"), "source"))
-    rows = docs.select("doc_id", "source", named.alias("class"))
-    counts = rows.groupBy("class").count().orderBy(F.desc("count"), "class").limit(most_sources).collect()
-    if not counts:
-        return spark.createDataFrame([], "doc_id long, source string, block long, slot long, position long")
+    key = F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("source:"), "source"))
+    rows = docs.select("doc_id", "source", key.alias("source_key"))
     if weights is not None:
-        parts = {f"source:{s}": p for s, p in weights.items() if s != "other" and p > 0}
-        listed = {*parts}
-    else:
-        listed = {r["class"] for r in counts}
-    rows = rows.withColumn("class", F.when(F.col("class").isin(sorted(listed)), F.col("class")).otherwise("other"))
-    # ranks in each source's hashed order: partitions are ranges, so one source may span many
-    ranked = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).repartitionByRange("class", "h", "doc_id").sortWithinPartitions("class", "h", "doc_id")
-    ranked = materialize(ranked.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")).drop("h"), "mix-order")
-    runs = ranked.groupBy("class", "part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    before = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
-    runs = runs.select("class", "part", "first", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    sizes = {r["class"]: r["n"] for r in runs.groupBy("class").agg(F.sum("n").alias("n")).collect()}  # most_sources + 1 rows
-    if weights is None:
-        parts = temperature_parts(sizes, power)
+        given = {"other": float(weights.get("other", 1))} | {f"source:{s}": float(p) for s, p in weights.items() if s != "other" and p > 0}
+        named = spark.createDataFrame([*given.items()], "source_key string, raw double")
+        rows = rows.join(named.where("source_key <> 'other'").select("source_key", F.lit(True).alias("_named")), "source_key", "left")
+        rows = rows.withColumn("source_key", F.when(F.col("_named"), F.col("source_key")).otherwise("other")).drop("_named")
+    keyed = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("row", F.monotonically_increasing_id())
+    ranked = _numbered(keyed, ["source_key", "h", "doc_id", "row"], ["source_key"], "mix-order").drop("h", "row")
+    ranked = ranked.withColumn("block", F.expr(f"number div {block_docs}")).withColumn("rank", F.expr(f"number % {block_docs}")).drop("number")
+    counts = rows.groupBy("source_key").agg(F.count("*").alias("n"))
+    sizes = counts.withColumn("raw", F.pow(F.col("n").cast("double"), F.lit(power))) if weights is None else counts.join(named, "source_key")
+    sources = materialize(_classes(sizes, most_alone, shared, seed).withColumn("blocks", F.expr(f"(n + {block_docs - 1}) div {block_docs}")), "mix-sources")
+    classes = sources.groupBy("class").agg(F.sum("blocks").alias("blocks"), F.sum("raw").alias("raw"), F.count("*").alias("members")).collect()  # at most most_alone + shared rows
+    if not classes:
+        return spark.createDataFrame([], "doc_id long, source string, block long, slot long, position long")
+    plan = Schedule(_whole({r["class"]: r["raw"] for r in classes}, weights is not None), {r["class"]: r["blocks"] for r in classes})
+    many = any(r["members"] > 1 for r in classes)
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The class's block for each block of its sources."""
+        own = Schedule(_whole(dict(zip(pdf["source_key"], pdf["raw"], strict=True)), weights is not None), dict(zip(pdf["source_key"], pdf["blocks"].tolist(), strict=True)))
+        every = [(s, np.arange(n)) for s, n in zip(pdf["source_key"], pdf["blocks"].tolist(), strict=True)]
+        parts = [pd.DataFrame({"class": pdf["class"].iloc[0], "source_key": s, "block": b, "class_block": own.slots(s, b)}) for s, b in every]
+        return pd.concat(parts)
+
+    if many:
+        of = sources.join(sources.groupBy("class").agg(F.count("*").alias("members")).where("members > 1").select("class"), "class", "left_semi")
+        told = of.groupBy("class").applyInPandas(within, "class string, source_key string, block long, class_block long")  # a row a block
+        ranked = ranked.join(told, ["source_key", "block"], "left").withColumn("class", F.coalesce("class", "source_key")).withColumn("class_block", F.coalesce("class_block", "block"))
     else:
-        parts = {c: parts.get(c, weights.get("other", 1)) for c in sizes}
-    blocks = {c: -(-n // block_docs) for c, n in sizes.items()}
-    schedule = phases(parts, blocks)
-    plan = spark.createDataFrame(schedule, "class string, phase int, low long, high long, k long, parts long, base long, period long, slot long")
-    placed = ranked.join(runs.drop("n"), ["class", "part"]).withColumn("rank", F.expr("base + at - first")).select("doc_id", "source", "class", "rank", F.expr(f"rank div {block_docs}").alias("block"))
-    placed = materialize(placed, "mix-blocks")
-    span = plan.select("class", "phase", "low", "high", "parts").distinct()  # at most (sources + 1) ** 2 rows
-    placed = placed.join(F.broadcast(span), "class").where("block >= low and block < high").withColumn("k", F.expr("(block - low) % parts"))
-    slots = plan.select("class", "phase", "k", "base", "period", "slot")
-    placed = placed.join(slots.withColumnRenamed("slot", "t"), ["class", "phase", "k"]).withColumn("slot", F.expr("base + (block - low) div parts * period + t"))
-    # only each source's last block may be short: positions skip what those few blocks lack
-    short = [(_slot(schedule, c, b - 1), b * block_docs - sizes[c]) for c, b in blocks.items() if b * block_docs > sizes[c]]
-    lacks = F.array(*[F.struct(F.lit(s).alias("slot"), F.lit(n).alias("lack")) for s, n in short])  # a pair a source
-    lack = F.aggregate(lacks, F.lit(0), lambda a, x: a + F.when(x["slot"] < F.col("slot"), x["lack"]).otherwise(0)) if short else F.lit(0)
-    placed = placed.withColumn("lack", lack)
-    return placed.select("doc_id", "source", "block", "slot", F.expr(f"slot * {block_docs} + rank % {block_docs} - lack").alias("position"))
+        ranked = ranked.withColumn("class", F.col("source_key")).withColumn("class_block", F.col("block"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = batch.column("class").dictionary_encode()
+            which, block = coded.indices.to_numpy(zero_copy_only=False), batch.column("class_block").to_numpy(zero_copy_only=False)
+            slot = np.empty(len(block), np.int64)
+            for k, name in enumerate(coded.dictionary.to_pylist()):
+                slot[which == k] = plan.slots(name, block[which == k])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("source"), batch.column("block"), pa.array(slot), batch.column("rank")], ["doc_id", "source", "block", "slot", "rank"])
+
+    placed = ranked.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "block", "rank", "class", "class_block").mapInArrow(place, "doc_id long, source string, block long, slot long, rank long")
+    return _numbered(placed, ["slot", "rank"], [], "mix-positions").select("doc_id", "source", "block", "slot", F.col("number").alias("position"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
