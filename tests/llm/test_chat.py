@@ -32,9 +32,39 @@ def test_nulls_ties_and_repeats(spark):
     assert _fold(spark, []) == []
 
 
+def _plain_fold(events):
+    """A conversation's events one by one: messages by key, in the order of their first event."""
+    log = sorted(((e[1], e[3], e[2] or "delta", e[4], e[5] or "") for e in events), key=lambda e: (e[0], e[1], e[2], e[3] is not None, e[3] or "", e[4]))
+    opened, pieces, roles = {}, {}, {}
+    for at, (_, msg, kind, role, text) in enumerate(log):
+        opened.setdefault(msg, at)
+        if role is not None:
+            roles[msg] = role
+        if kind in ("edit", "regenerate"):
+            pieces[msg] = []
+        if kind == "regenerate":
+            for m in [m for m in pieces if opened[m] > opened[msg]]:
+                del pieces[m]
+        pieces.setdefault(msg, []).append(text)
+    return [(roles.get(m, ""), "".join(pieces[m])) for m in sorted(pieces, key=opened.get)]
+
+
+def test_random_logs_against_a_plain_fold(spark):
+    import random
+
+    r = random.Random(7)
+    events, want = [], []
+    for conv in range(150):
+        own = [(conv, r.randint(0, 30), r.choice(["delta", "delta", "delta", "edit", "regenerate", None]), f"m{r.randint(0, 5)}", r.choice(["user", "assistant", None]), r.choice(["a", "b", "", None, "cd"])) for _ in range(r.randint(1, 25))]
+        events += own
+        want += _plain_fold(own)
+    r.shuffle(events)
+    assert _fold(spark, events) == want
+
+
 def test_escape_is_reversible(spark):
     @settings(max_examples=5, deadline=None)
-    @given(st.lists(st.lists(st.sampled_from(["<", "|", "\\", "im_start", "<|im_end|>", "\n", "é", "$1", "x"]), max_size=10).map("".join), min_size=30, max_size=60))
+    @given(st.lists(st.lists(st.sampled_from(["<", "|", "\\", "im_start", "<|im_end|>", "\n", "n", "\0", "é", "$1", "x"]), max_size=10).map("".join), min_size=30, max_size=60))
     def check(texts):
         df = spark.createDataFrame([(t,) for t in texts], "t string")
         e, role = chat.escape(F.col("t")), chat.escape_role(F.col("t"))

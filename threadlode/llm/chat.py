@@ -37,8 +37,9 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    marked = F.replace(role, F.lit("\\\\"), F.lit("\u0000"))
-    return unescape(F.replace(F.replace(marked, F.lit("\\n"), F.lit("\n")), F.lit("\u0000"), F.lit("\\")))
+    """Pairs of backslashes are split off first, so that one before an n is a line end's wherever it stands."""
+    parts = F.transform(F.split(role, r"\\\\"), lambda p: F.replace(p, F.lit("\\n"), F.lit("\n")))
+    return unescape(F.array_join(parts, "\\"))
 
 
 def turn_events(turns: DataFrame) -> DataFrame:
