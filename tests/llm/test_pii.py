@@ -12,7 +12,7 @@ from threadlode.llm import pii
 
 @pytest.fixture(scope="module")
 def model():
-    return pii.train(*pii.training_windows([]))
+    return pii.train(*pii.made_windows(pii.MADE, 7))
 
 
 def _reference(text):
@@ -43,27 +43,98 @@ def test_long_runs_stay_linear():
     assert time.time() - began < 20
 
 
-def test_model_learns_and_adds(model):
-    import numpy as np
-
-    x, y = pii.training_windows([], seed=99)
-    found, _ = pii.decode(model, x)
-    assert (found == y).mean() > 0.97
-    texts = ["the card is 4111111111111112, thanks", "mail to ab.42@cde.example.com today", "nothing here at all", "x" * 500]
+def test_held_out_spans(model):
+    """Made-up entities that the model never saw: what it adds is right nearly always, and it adds most of each kind but
+    for telephone numbers, of which bare digits tell too little. Numbers that are none stay alone."""
+    maker = pii.Maker(1234)
+    cases = [maker.example() for _ in range(1500)]
+    texts = [t for t, _ in cases]
     base = [pii.base_spans(t) for t in texts]
     added = pii.added_spans(model, texts, base)
-    for t, b, a in zip(texts, base, added, strict=True):
-        for s, e, kind in a:
-            assert 0 <= s < e <= len(t) and kind in pii.KINDS and not any(p < e and s < q for p, q, _ in b)
-    assert added[2] == added[3] == []
-    assert np.isfinite(pii.decode(model, x[:3])[1]).all()
+    right, made, there = dict.fromkeys(pii.KINDS, 0), dict.fromkeys(pii.KINDS, 0), dict.fromkeys(pii.KINDS, 0)
+    for (text, spans), b, a in zip(cases, base, added, strict=True):
+        hidden = {s for s in spans if not any(u < s[1] and s[0] < v for u, v, _ in b)}
+        for s in a:
+            assert 0 <= s[0] < s[1] <= len(text) and not any(u < s[1] and s[0] < v for u, v, _ in b)
+            made[s[2]] += 1
+            right[s[2]] += s in hidden
+        for s in hidden:
+            there[s[2]] += 1
+    assert sum(right.values()) / sum(made.values()) >= 0.93, (right, made)
+    for kind, least in (("email", 0.6), ("ip", 0.7), ("card", 0.5), ("phone", 0.3)):
+        assert right[kind] >= 0.85 * made[kind] and right[kind] >= least * there[kind], (kind, right, made, there)
+
+
+def test_numbers_that_the_base_rule_refuses_stay_refused(model):
+    texts = ["the card is 4111111111111112, thanks", "host 999.10.10.10 is down", "call +1 23 45 now", "4111.1111.1111.1112 on file", "nothing here at all", "x" * 700, "at the dot " * 80, "7" * 600]
+    base = [pii.base_spans(t) for t in texts]
+    for t, spans in zip(texts, pii.added_spans(model, texts, base), strict=True):
+        for a, b, kind in spans:
+            digits = re.sub("[^0-9]", "", t[a:b])
+            assert (kind != "card" or pii.luhn(digits)) and (kind != "ip" or all(int(x) < 256 for x in re.findall("[0-9]+", t[a:b]))) and not (kind == "phone" and "+" in t[a:b])
+    assert all(spans == [] for spans in pii.added_spans(model, texts[4:7], base[4:7]))
+
+
+def test_seams_change_nothing(model):
+    """An entity is found wherever it lies against the windows' edges, and however texts share a batch."""
+    entity = "zoe.hill (at) baker (dot) org"
+    alone = pii.added_spans(model, [f"write to {entity} please"], [[]])[0]
+    assert [(k, e - s) for s, e, k in alone] == [("email", len(entity))]
+    texts = [("and so on " * 60)[:n] + f" write to {entity} please " + "and so on " * 30 for n in range(150, 500, 7)]
+    found = pii.added_spans(model, texts, [[]] * len(texts))
+    assert sum([t[a:b] for a, b, _ in f] == [entity] for t, f in zip(texts, found, strict=True)) >= len(texts) - 1
+    assert [pii.added_spans(model, [t], [[]])[0] for t in texts[::9]] == found[::9]
+
+
+def test_quiet_windows_have_no_better_path(model):
+    """Where no window is restless the best path is outside throughout: against decoding all of them."""
+    import numpy as np
+
+    maker = pii.Maker(5)
+    text = " ".join(maker.example()[0] for _ in range(900))
+    x = pii.encode(text)[: len(text) // 128 * 128].reshape(-1, 128).T
+    scores = pii.emissions(model, x)
+    tags = pii.best_path(scores.transpose(1, 2, 0), model["steps"])
+    quiet = ~pii.restless(model, scores)
+    assert quiet.any() and not tags[:, quiet].any() and tags[:, ~quiet].any(0).mean() > 0.5
+    p = pii._marginals(scores.transpose(1, 2, 0).astype(float), model["steps"].astype(float))[0]
+    assert np.allclose(p.sum(2), 1, atol=1e-4)
 
 
-def test_windows_cover_every_trigger():
-    for n in (1, 63, 64, 65, 96, 97, 200):
-        for at in range(0, n, 7):
-            text = "x" * at + "1" + "x" * (n - at - 1)
-            assert any(k * pii.STRIDE <= at < k * pii.STRIDE + pii.WINDOW for k in pii._windows(text))
+def test_best_path_and_gradients_against_brute_force():
+    """The best of all label sequences, and the likelihood's slope by small differences."""
+    import itertools
+
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    scores, moves = r.standard_normal((4, 3, pii.TAGS)), r.standard_normal((pii.TAGS + 1, pii.TAGS)) + pii._grammar()
+    tags = pii.best_path(scores, moves)
+    for j in range(3):
+        value = lambda seq: moves[-1, seq[0]] + sum(scores[t, j, y] for t, y in enumerate(seq)) + sum(moves[a, b] for a, b in itertools.pairwise(seq))  # noqa: B023, E731
+        assert tuple(tags[:, j]) == max(itertools.product(range(pii.TAGS), repeat=4), key=value)
+    wx, wh, x = r.standard_normal((2, 4 * pii.HIDDEN, pii.SYMBOLS)) * 0.1 + 0.2, r.standard_normal((2, 4 * pii.HIDDEN, pii.HIDDEN)) * 0.1, r.integers(0, 9, (5, 2))
+    states, trail = pii._cells(wx, wh, x, True)
+    pull = r.standard_normal(states.shape)
+    d_wx, d_wh = pii._cells_back(wh, x, trail, pull)
+    for array, grad, places in ((wh, d_wh, [(0, 1, 2), (1, 13, 3), (0, 30, 5), (1, 40, 0)]), (wx, d_wx, [(0, 2, int(x[1, 0])), (1, 20, int(x[2, 1])), (0, 45, int(x[4, 0]))])):
+        for place in places:
+            sides = []
+            for step in (1e-6, -1e-6):
+                array[place] += step
+                sides.append((pii._cells(wx, wh, x)[0] * pull).sum())
+                array[place] -= step
+            assert abs((sides[0] - sides[1]) / 2e-6 - grad[place]) < 1e-4
+
+
+def test_fit_on_documents(spark):
+    """Windows of documents and made-up ones; null, empty, repeated and very long texts; the bound holds."""
+    rows = [(k, f"order {k} came at noon, went on to the end of the long road and stayed there until the evening. " * 9 + "mail a.b@cde.org", 1) for k in range(30)] + [(None, None, 1), (5, "", 1), (5, "again", 1), (6, "1 " * 60_000, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h int")
+    x, y, pieces = pii.sampled_windows(docs, 20)
+    assert 20 <= len(x) <= 20 * pii.OF_DOCUMENT and x.shape[1] == pii.SEEN == y.shape[1] and y.max() < pii.TAGS and pieces
+    x, y, pieces = pii.sampled_windows(docs.limit(0))
+    assert len(x) == len(pieces) == 0
 
 
 def test_table(spark, model):
@@ -82,3 +153,9 @@ def test_table(spark, model):
     docs = spark.createDataFrame([(1, "a@b.cd", 5, "x"), (2, None, None, "y")], "doc_id long, text string, n_chars int, lang string")
     out = pii.redact_documents(docs, model)
     assert out.columns == docs.columns and [tuple(r) for r in out.orderBy("doc_id").collect()] == [(1, "[EMAIL]", 7, "x"), (2, None, None, "y")]
+
+
+def test_redacting_an_empty_table_and_repeats(spark, model):
+    docs = spark.createDataFrame([(1, "a@b.cd", 5, "x"), (1, "a@b.cd", 5, "x"), (None, "a@b.cd", 5, "x")], "doc_id long, text string, n_chars int, lang string")
+    assert [tuple(r) for r in pii.redact_documents(docs, model).orderBy("doc_id").collect()] == [(None, "[EMAIL]", 7, "x"), (1, "[EMAIL]", 7, "x"), (1, "[EMAIL]", 7, "x")]
+    assert pii.redact_documents(docs.limit(0), model).count() == 0
