@@ -3,7 +3,8 @@
 Format of a file: one Arrow IPC stream of record batches with the columns
 
 * ``input_ids``: fixed_size_list<uint16 or uint32>[length], padded with 0,
-* ``attention_mask``: fixed_size_list<uint8>[length], 1 where there is a token.
+* ``attention_mask``: fixed_size_list<uint8>[length], 1 where there is a token, dictionary-encoded: a file's masks are two,
+  that of a full sequence and that of its last one, and each row points to one of them.
 
 All batches but the last hold ``rows_per_batch`` sequences, so sequence i is row i % rows_per_batch of batch
 i // rows_per_batch, and its ids and mask are slices of the mapped file: no copy. The schema's metadata hold the file's
@@ -39,9 +40,11 @@ def stream_bytes(ids: np.ndarray, counts: list[int], doc_ids: list, part: int, c
     n = max(1, -(-len(ids) // length))
     padded = np.zeros(n * length, ids.dtype)
     padded[: len(ids)] = ids
-    mask = np.zeros(n * length, np.uint8)
-    mask[: len(ids)] = 1
-    columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), length) for x in (padded, mask)]
+    masks = np.ones(2 * length, np.uint8)
+    masks[length + len(ids) - (n - 1) * length :] = 0
+    which = pa.array(np.arange(n) == n - 1).cast(pa.int8())
+    mask = pa.DictionaryArray.from_arrays(which, pa.FixedSizeListArray.from_arrays(pa.array(masks), length))
+    columns = [pa.FixedSizeListArray.from_arrays(pa.array(padded), length), mask]
     meta = {"part": str(part), "chunk": str(chunk), "tokens": str(len(ids)), "rows_per_batch": str(rows), "doc_ids": json.dumps(doc_ids), "doc_tokens": json.dumps(counts)}
     schema = pa.schema([(k, c.type) for k, c in zip(("input_ids", "attention_mask"), columns, strict=True)], metadata=meta)
     out = pa.BufferOutputStream()
@@ -65,14 +68,16 @@ class TokenFile:
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and mask of sequence ``i``, both views of the file."""
-        batch = self.batches[i // self.rows]
-        ids, mask = (batch.column(k)[i % self.rows].values.to_numpy(zero_copy_only=True) for k in range(2))
-        return ids, mask
+        batch, row = self.batches[i // self.rows], i % self.rows
+        masks = batch.column(1)
+        ids, mask = batch.column(0)[row].values, masks.dictionary[masks.indices[row].as_py()].values
+        return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=True)
 
     def documents(self):
         """(doc_id, ids) in the file's order."""
-        ids, mask = (np.concatenate([b.column(k).flatten().to_numpy() for b in self.batches]) for k in range(2))
-        yield from zip(self.doc_ids, np.split(ids[mask > 0], np.cumsum(self.doc_tokens)[:-1]), strict=True) if self.doc_ids else ()
+        ids = np.concatenate([b.column(0).flatten().to_numpy() for b in self.batches])
+        held = len(ids) - int((self.sequence(len(self) - 1)[1] == 0).sum())  # only the last sequence has padding
+        yield from zip(self.doc_ids, np.split(ids[:held], np.cumsum(self.doc_tokens)[:-1]), strict=True) if self.doc_ids else ()
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, length: int = 1024, vocabulary_file: str | None = None, file_tokens: int = FILE_TOKENS) -> None:
