@@ -38,4 +38,8 @@ def hash_embedding(text: Column, dims: int = 8, normalized: bool = True) -> Colu
         F.sequence(F.lit(0), F.lit(dims - 1)),
         lambda j: F.conv(F.substring(F.sha2(F.concat(j.cast("string"), F.lit(":"), text), 256), 1, 8), 16, 10).cast("double") / 4294967296.0 - 0.5,
     )
-    return F.transform(raw, lambda x: x / norm(raw)) if normalized else raw
+    if not normalized:
+        return raw
+    # as a lambda's variable the vector and its length are computed once, not for every component
+    measured = F.transform(F.array(raw), lambda v: F.struct(v.alias("v"), norm(v).alias("n")))
+    return F.get(F.transform(measured, lambda s: F.transform(s["v"], lambda x: x / s["n"])), F.lit(0))
