@@ -1,15 +1,20 @@
-"""What several operators share: bounded Arrow batches and connected components."""
+"""What several operators share: bounded Arrow batches, numbers in an order, and connected components."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlode.session import materialize
 
+#: For bytes.translate: A-Z as a-z, and every other byte of ASCII that is no letter or digit as a space.
+WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
+#: Bytes of one text that are split into words at a time.
+WORDS_AT_ONCE = 1 << 20
+
 #: Text that one call of a worker's function holds at a time.
 BATCH_BYTES = 6 << 20
 
@@ -32,6 +37,27 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, schema)
 
 
+def word_runs(text: bytes | None) -> Iterator[list[bytes]]:
+    """The words of a text in UTF-8, in order, some at a time: runs of digits, letters A-Z in lower case, and characters beyond ASCII."""
+    data, at = (text or b"").translate(WORD_BYTES), 0
+    while at < len(data):
+        end = data.find(b" ", at + WORDS_AT_ONCE)
+        end = len(data) if end < 0 else end
+        yield data[at:end].split()
+        at = end
+
+
+def numbered(df: DataFrame, order: list[str], groups: list[str], name: str) -> DataFrame:
+    """``df`` with ``number``: each row's place from 0 in ``order``, within ``groups``, which lead the order. Partitions are
+    ranges, so a group may span many; only counts by partition and group meet."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    kept = materialize(ranged.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")), name)
+    runs = kept.groupBy(*groups, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    bases = runs.select(*groups, "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return kept.join(bases, [*groups, "_part"]).withColumn("number", F.expr("_base + _at - _first")).drop("_part", "_at", "_base", "_first")
+
+
 def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows (node, component) with the smallest node reachable.
 

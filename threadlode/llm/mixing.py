@@ -27,9 +27,10 @@ from math import gcd
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadlode.llm.common import numbered
 from threadlode.session import materialize
 
 #: Parts that temperature weights are rounded to: the length of a period.
@@ -107,17 +108,6 @@ class Schedule:
         return out
 
 
-def _numbered(df: DataFrame, order: list[str], groups: list[str], name: str) -> DataFrame:
-    """``df`` with ``number``: each row's place from 0 in ``order``, within ``groups``, which lead the order. Partitions are
-    ranges, so a group may span many; only counts by partition and group meet."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    kept = materialize(ranged.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")), name)
-    runs = kept.groupBy(*groups, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
-    bases = runs.select(*groups, "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    return kept.join(bases, [*groups, "_part"]).withColumn("number", F.expr("_base + _at - _first")).drop("_part", "_at", "_base", "_first")
-
-
 def _classes(sizes: DataFrame, alone: int, shared: int, seed: int) -> DataFrame:
     """``sizes(source_key, n, raw)`` with the class of each source."""
     if sizes.count() <= alone + shared:
@@ -148,7 +138,7 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, power: float = 0
         rows = rows.join(named.where("source_key <> 'other'").select("source_key", F.lit(True).alias("_named")), "source_key", "left")
         rows = rows.withColumn("source_key", F.when(F.col("_named"), F.col("source_key")).otherwise("other")).drop("_named")
     keyed = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("row", F.monotonically_increasing_id())
-    ranked = _numbered(keyed, ["source_key", "h", "doc_id", "row"], ["source_key"], "mix-order").drop("h", "row")
+    ranked = numbered(keyed, ["source_key", "h", "doc_id", "row"], ["source_key"], "mix-order").drop("h", "row")
     ranked = ranked.withColumn("block", F.expr(f"number div {block_docs}")).withColumn("rank", F.expr(f"number % {block_docs}")).drop("number")
     counts = rows.groupBy("source_key").agg(F.count("*").alias("n"))
     sizes = counts.withColumn("raw", F.pow(F.col("n").cast("double"), F.lit(power))) if weights is None else counts.join(named, "source_key")
@@ -183,7 +173,7 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, power: float = 0
             yield pa.record_batch([batch.column("doc_id"), batch.column("source"), batch.column("block"), pa.array(slot), batch.column("rank")], ["doc_id", "source", "block", "slot", "rank"])
 
     placed = ranked.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "block", "rank", "class", "class_block").mapInArrow(place, "doc_id long, source string, block long, slot long, rank long")
-    return _numbered(placed, ["slot", "rank"], [], "mix-positions").select("doc_id", "source", "block", "slot", F.col("number").alias("position"))
+    return numbered(placed, ["slot", "rank"], [], "mix-positions").select("doc_id", "source", "block", "slot", F.col("number").alias("position"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:

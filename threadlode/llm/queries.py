@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlode.llm import chat, mixing, neighbours, packing, passages, pii, quality, simhash, tokenfile, topk
+from threadlode.llm import chat, fingerprints, importance, lexical, mixing, neighbours, packing, passages, pii, quality, simhash, tokenfile, topk
 from threadlode.session import materialize
 
 
@@ -61,7 +61,19 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op2_near_vectors, op3_chat, op4_quality, op5_top_k, op6_simhash, op7_pii, op8_passages, op9_packing, op10_mixing)}
+def op11_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op12_importance(spark, sf_dir):
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_lexical(spark, sf_dir):
+    return lexical.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_near_vectors, op3_chat, op4_quality, op5_top_k, op6_simhash, op7_pii, op8_passages, op9_packing, op10_mixing, op11_fingerprints, op12_importance, op13_lexical)}
 
 ORACLES = {
     "op2_near_vectors": """
@@ -102,5 +114,49 @@ WITH v AS (
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
 ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    # checksums of distinct features a byte at a time, by the table that the polynomial gives
+    "op12_importance": r"""
+WITH RECURSIVE bits(b, c, k) AS (
+  SELECT range, CAST(range AS BIGINT), 0 FROM range(256)
+  UNION ALL SELECT b, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc_table AS (SELECT b, c FROM bits WHERE k = 8), texts AS (
+  SELECT 0 AS target, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark
+), words AS (
+  SELECT target, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+), features AS (
+  SELECT target, r, unnest(w || list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS f FROM words
+), counted AS (SELECT target, r, f, count(*) AS n FROM features GROUP BY ALL), grams AS (SELECT DISTINCT f FROM counted), hexed AS (SELECT f, hex(encode(f)) AS x FROM grams),
+crc(f, x, c) AS (
+  SELECT f, x, CAST(4294967295 AS BIGINT) FROM hexed
+  UNION ALL SELECT crc.f, x[3:], xor(t.c, crc.c >> 8) FROM crc JOIN crc_table t ON t.b = xor(crc.c & 255, CAST('0x' || x[1:2] AS BIGINT)) WHERE x <> ''
+), bucketed AS (SELECT target, r, xor(c, 4294967295) % 10000 AS b, n FROM counted JOIN (SELECT f, c FROM crc WHERE x = '') USING (f)),
+s AS (SELECT b, sum(n) FILTER (WHERE target = 0) AS s, sum(n) FILTER (WHERE target = 1) AS t FROM bucketed GROUP BY b),
+totals AS (SELECT coalesce(sum(s), 0) AS ss, coalesce(sum(t), 0) AS tt FROM s),
+gain AS (SELECT b, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * (ss + 10000) AS DOUBLE) / CAST((coalesce(s, 0) + 1) * (tt + 10000) AS DOUBLE))) AS BIGINT) AS g FROM s, totals),
+weights AS (SELECT r, sum(n) AS n, CAST(floor(CAST(sum(n * g) AS DOUBLE) / CAST(sum(n) AS DOUBLE)) AS BIGINT) AS w FROM bucketed JOIN gain USING (b) WHERE target = 0 GROUP BY r),
+scored AS (
+  SELECT doc_id, len(w.w) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_features, coalesce(g.w, 0) AS weight,
+    coalesce(g.w, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM words w LEFT JOIN weights g USING (r) WHERE target = 0
+), drawn AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS place, count(*) OVER (PARTITION BY n_words >= 20) AS able FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * able // 100 THEN place END AS rank FROM drawn
+""",
+    "op13_lexical": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), i AS (
+  SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark
+), totals AS (SELECT count(*) AS nn, CAST(sum(len(w)) AS BIGINT) AS ll FROM d WHERE len(w) > 0),
+postings AS (SELECT r, any_value(doc_id) AS doc_id, any_value(n) AS n, t, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM d) GROUP BY r, t),
+weights AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(nn) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM postings, totals GROUP BY t),
+asked AS (SELECT q, item_id, t, count(*) AS times FROM (SELECT q, item_id, unnest(w) AS t FROM i) GROUP BY ALL),
+scores AS (
+  SELECT q, any_value(item_id) AS item_id, r, any_value(doc_id) AS doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // ll)))) AS BIGINT) AS score
+  FROM asked JOIN postings USING (t) JOIN weights USING (t), totals GROUP BY q, r
+), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
 """,
 }
