@@ -43,6 +43,20 @@ def test_documents(spark):
     assert _check(rows, packing.pack(spark, docs.repartition(5)).collect()) > 0.97
 
 
+def test_in_order(spark, tmp_path):
+    """Sequences follow the order in which the files were written, whatever their sizes."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    docs.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").write.parquet(str(tmp_path / "d"))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    got = packing.pack(spark, spark.read.parquet(str(tmp_path / "d")), in_order=True).collect()
+    assert _check(rows, got) > 0.97
+    first = {}
+    for r in got:
+        first[r["sequence_id"]] = min((r["doc_id"], r["start"]), first.get(r["sequence_id"], (1 << 60, 0)))
+    opened = [first[k] for k in range(len(first))]
+    assert opened == sorted(opened) and len(opened) > 50
+
+
 def test_odd_rows_and_empty(spark):
     rows = [(1, None), (2, ""), (3, "word " * 20000), (4, "  two  spaces\n\n\nend "), (None, "no id"), (5, "<|endoftext|>")]
     df = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, length int")

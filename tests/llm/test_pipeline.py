@@ -50,21 +50,55 @@ def test_stages_against_brute_force(spark, tmp_path):
             assert r["start"] == start and r["ids_crc32"] == zlib.crc32(raw[4 * start : 4 * (start + r["length"])])
             start += r["length"]
         assert 4 * start == len(raw)
+    # the mix decides the order of sequences: each is numbered by its first piece in the mix
+    place = {d: k for k, d in enumerate(r["doc_id"] for r in seen[3].select("doc_id").collect())}
+    first: dict = {}
+    for r in (r for parts in pieces.values() for r in parts):
+        first[r["sequence_id"]] = min((place[r["doc_id"]], r["start"]), first.get(r["sequence_id"], (1 << 60, 0)))
+    opened = [first[k] for k in range(len(first))]
+    assert opened == sorted(opened) and len(opened) > 50
 
 
 def test_registered():
     import __spark_entry__ as entry
 
     names = {*entry.queries()}
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert {*entry.oracle_sql()} <= names
 
 
-def test_odd_documents(spark):
+def _odd(spark, *more):
     rows = [(1, None, None, None, None), (None, "", "en", "a", 0), (2, "x" * 50_000, "en", None, 50_000), (2, "x" * 50_000, "en", None, 50_000), (3, "mail me at a@b.example.com please, it is me who asks", "en", "a", 52)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for table in (docs, docs.limit(0)):
-        at = table
+    names = ["doc_id long", "text string", "lang string", "source string", "n_chars long", *[f"{m} string" for m in more]]
+    return spark.createDataFrame([(*r, *[f"{m}{k}" for m in more]) for k, r in enumerate(rows)], ", ".join(names))
+
+
+def test_odd_documents(spark):
+    for table in (_odd(spark), _odd(spark).limit(0)):
+        at, seen = table, []
         for _, stage in corpus_pipeline.STAGES:
             at = stage(spark, at, DATA)
-        at.collect()
+            seen.append(at.collect())
+        if not table.count():
+            assert seen == [[]] * 5
+            continue
+        texts = [[(r["doc_id"], r["text"]) for r in s] for s in seen[:4]]
+        assert {*texts[0]} <= {(r["doc_id"], r["text"]) for r in table.collect()}
+        # null and empty texts have the same fingerprint, and so have the two long ones
+        groups = {("" if not t else t) for _, t in texts[0]}
+        assert len(texts[1]) == len(groups) and {*texts[1]} <= {*texts[0]}
+        assert not any("@b.example" in (t or "") for _, t in texts[2]) and [d for d, _ in texts[2]] == [d for d, _ in texts[1]]
+        assert sorted(map(str, texts[3])) == sorted(map(str, texts[2]))
+        assert sorted({str(r["doc_id"]) for r in seen[4]}) == sorted({str(d) for d, _ in texts[3]})
+
+
+def test_clashing_columns(spark):
+    """Columns by names that stages use themselves come back unchanged."""
+    more = ["_row", "_D", "_s", "_position", "number", "fp", "group", "component_id", "features", "row", "slot", "_n", "_part", "file", "at", "run"]
+    docs = _odd(spark, *more)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns, name
+        kept = {tuple(r[m] for m in more) for r in out.collect()}
+        assert kept and kept <= {tuple(f"{m}{k}" for m in more) for k in range(5)}, name
+    assert {r["doc_id"] for r in corpus_pipeline.packed(spark, docs, DATA).collect()} == {1, 2, 3, None}

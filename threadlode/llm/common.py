@@ -37,6 +37,17 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, schema)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names that are none of the columns of ``df``, whatever their case: ``wanted``, lengthened where taken."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def word_runs(text: bytes | None) -> Iterator[list[bytes]]:
     """The words of a text in UTF-8, in order, some at a time: runs of digits, letters A-Z in lower case, and characters beyond ASCII."""
     data, at = (text or b"").translate(WORD_BYTES), 0

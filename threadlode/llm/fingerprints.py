@@ -55,9 +55,8 @@ def samples(counts: DataFrame, keys: list[str], weights: list[str], n_samples: i
     ``term`` is a long, a hash of the word; each column of weights is a bag of its own over the same words, and a weight of zero or null means that the
     word isn't in it. A (key, term) must not repeat. If ``counts`` is dealt by some of ``keys``, nothing is shuffled.
 
-    The JVM's logarithms cost more than all the rest, so variates are made of bits: Gamma(2, 1) is -ln(u v) for uniform u and v, and a
-    uniform number is a half to a power that the zeros before a set bit of a hash give, times a number in (1/2, 1); what is left of the logarithm is a
-    short series. Each is right to 3e-6, and the same wherever it is computed.
+    The JVM's strict logarithms cost more than all the rest, so Gamma(2, 1), -ln(u v) for uniform u and v, and its logarithm are made of square roots and a
+    short series. They are right to 1e-5, and the same wherever they are computed.
     """
     side = range(SIDE)
     each = lambda *named: [f(j).alias(f"{name}{j}") for name, f in named for j in side]

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlode.llm.common import numbered
+from threadlode.llm.common import free_names, numbered
 from threadlode.session import materialize
 
 #: Parts that temperature weights are rounded to: the length of a period.
@@ -177,10 +177,12 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, power: float = 0
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs``, every row once, dealt over files and ordered within them by position in the mix.
+    """``docs``, every row once, dealt over files and ordered within them by position in the mix: what is written has its rows in this order,
+    by file name and place in the file.
 
-    Rows with the same doc_id and source stay together at the first of their positions.
+    Rows with the same doc_id and source stay together at the first of their positions. All columns of ``docs`` come back as they are, by any name.
     """
-    place = mix(docs, **options).groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s")).agg(F.min("position").alias("_position"))
-    placed = docs.join(place, docs["doc_id"].eqNullSafe(F.col("_d")) & docs["source"].eqNullSafe(F.col("_s")))
-    return placed.repartitionByRange("_position").sortWithinPartitions("_position").select(*docs.columns)
+    d, s, position = free_names(docs, "_d", "_s", "_position")
+    place = mix(docs, **options).groupBy(F.col("doc_id").alias(d), F.col("source").alias(s)).agg(F.min("position").alias(position))
+    placed = docs.join(place, docs["doc_id"].eqNullSafe(F.col(d)) & docs["source"].eqNullSafe(F.col(s)))
+    return placed.repartitionByRange(position).sortWithinPartitions(position).select(*docs.columns)

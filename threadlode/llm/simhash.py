@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlode.llm.common import components, map_batches
+from threadlode.llm.common import components, free_names, map_batches
 from threadlode.session import materialize
 
 BUDGET = 4
@@ -196,14 +196,16 @@ def label_documents(rows: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stand for their group of near duplicates: one row a group, that with its smallest
-    doc_id; of rows that share it, the one with the least text."""
-    keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed-documents")
-    rows = materialize(fingerprints(keyed, "_row"), "doc-fingerprints")
+    doc_id; of rows that share it, the one with the least text. All columns of ``docs`` come back as they are, by any name."""
+    (row,) = free_names(docs, "_row")
+    keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "keyed-documents")
+    own = keyed.select("doc_id", "text", F.col(row).alias("_row"))
+    rows = materialize(fingerprints(own, "_row"), "doc-fingerprints")
     named = rows.join(_named(rows), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     tops = materialize(named.groupBy("group").agg(F.count("*").alias("n"), F.min("_row").alias("_row")), "group-tops")
     kept = tops.where("n = 1").select("_row")
     if tops.where("n > 1").limit(1).count():
         tied = named.join(tops.where("n > 1").select("group"), "group").select("group", "_row")
-        first = tied.join(keyed.select("_row", "text"), "_row").groupBy("group").agg(F.min(F.struct("text", "_row")).alias("x"))
+        first = tied.join(own.select("_row", "text"), "_row").groupBy("group").agg(F.min(F.struct("text", "_row")).alias("x"))
         kept = kept.union(first.select("x._row"))
-    return keyed.join(kept, "_row", "left_semi").select(*docs.columns)
+    return keyed.join(kept.select(F.col("_row").alias(row)), row, "left_semi").select(*docs.columns)
