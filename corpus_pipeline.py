@@ -29,8 +29,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in the sequences."""
-    return packing.pack(spark, docs)
+    """The pieces of all documents and their places in the sequences, which follow the order of the mix."""
+    return packing.pack(spark, docs, in_order=True)
 
 
 STAGES = [
