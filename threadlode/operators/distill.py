@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 
 from threadlode.functions.ids import note_id
 from threadlode.functions.text import strip
-from threadlode.providers import InvalidReply, Unavailable
+from threadlode.operators.ledger import replies
 
 #: A provider takes a prompt and returns notes (kind, text, span).
 Provider = Callable[[str], list[tuple[str, str, str]]]
-NOTES = "session_id string, pos int, kind string, text string, span_ref string, outcome string"
 
 
 def first_sentences(prompt: str) -> list[tuple[str, str, str]]:
@@ -27,37 +26,25 @@ def first_sentences(prompt: str) -> list[tuple[str, str, str]]:
 MOST_FAILURES = 5
 
 
-def distill(prompts: DataFrame, provider: Provider = first_sentences) -> DataFrame:
+def distill(prompts: DataFrame, provider: Provider = first_sentences, ledger: str | None = None) -> DataFrame:
     """One row per note of prompts (session_id, prompt), or one with its outcome where there is none or the call failed.
 
     Outcomes: ``ok``; ``zero_note`` (nothing found, or a reply that isn't valid: done all the same); ``failed``; ``cold``
     (the provider is cooling down: neither this session nor the task's later ones are tried); ``skipped`` (the task gave
     up after ``MOST_FAILURES`` failures in a row). All but the first two stay pending.
-    """
 
-    def run(batches):
-        import pyarrow as pa
-
-        stopped, failures = None, 0
-        for batch in batches:
-            rows = []
-            for sid, prompt in zip(batch.column("session_id").to_pylist(), batch.column("prompt").to_pylist(), strict=True):
-                notes, outcome = [], stopped
-                if stopped is None:
-                    try:
-                        notes, outcome, failures = provider(prompt or ""), "zero_note", 0
-                    except InvalidReply:
-                        outcome, failures = "zero_note", 0
-                    except Unavailable:
-                        outcome = stopped = "cold"
-                    except Exception:  # noqa: BLE001  a provider's failure is this session's outcome, and the session stays pending
-                        outcome, failures = "failed", failures + 1
-                        stopped = "skipped" if failures >= MOST_FAILURES else None
-                rows += [(sid, k, kind or "insight", text, span or "", "ok") for k, (kind, text, span) in enumerate(notes)] or [(sid, None, None, None, None, outcome)]
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.int32(), *[pa.string()] * 4], strict=True)], [x.split()[0] for x in NOTES.split(", ")])
-
-    return prompts.select("session_id", "prompt").mapInArrow(run, NOTES)
+    The provider is asked here and now, once per distinct prompt, and its replies are kept in the folder ``ledger`` before they are used: notes and checkpoint come
+    from the same replies, and a further call with the same folder asks only for what is pending.
+    """
+    got = replies(prompts, "session_id", provider, ledger, "distill", stop_when_cold=True, most_failures=MOST_FAILURES)
+    said = got.select("session_id", "how", F.from_json("reply", "array<array<string>>").alias("notes"))
+    notes = said.where("size(notes) > 0").select("session_id", F.posexplode("notes").alias("pos", "n"))
+    part = lambda k, other: F.coalesce(F.get("n", F.lit(k)), F.lit(other))
+    kind = F.when(F.length(part(0, "")) > 0, part(0, "")).otherwise("insight")
+    found = notes.select("session_id", "pos", kind.alias("kind"), F.get("n", F.lit(1)).alias("text"), part(2, "").alias("span_ref"), F.lit("ok").alias("outcome"))
+    outcome = F.when(F.col("how").isin("ok", "invalid"), "zero_note").otherwise(F.col("how"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("pos", "int"), ("kind", "string"), ("text", "string"), ("span_ref", "string"))]
+    return found.union(said.where("notes is null or size(notes) = 0").select("session_id", *none, outcome.alias("outcome")))
 
 
 def outcomes(rows: DataFrame) -> DataFrame:

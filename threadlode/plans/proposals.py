@@ -23,14 +23,14 @@ def grounded(material: DataFrame, notes: DataFrame) -> DataFrame:
     return material.join(told, "source_ref").select("source_ref", material["kind"], "source_hash", "note_ids", prompt.alias("prompt"))
 
 
-def generated(grounds: DataFrame, vectors: DataFrame, generate: Fields, critic: Fields, embedding, model: str = "") -> DataFrame:
+def generated(grounds: DataFrame, vectors: DataFrame, generate: Fields, critic: Fields, embedding, model: str = "", ledger: str | None = None) -> DataFrame:
     """One proposal per ground: pending, or rejected with its reason. A ground whose call failed gives none.
 
     ``generate`` returns title, text, next step and cites (comma-joined), ``critic`` a feasibility and a risk, or nothing:
     it labels and never filters. ``vectors(note_id, vec)``; ``embedding`` maps a text column to a vector. Without vectors
-    the comparison is left out.
+    the comparison is left out. Both are asked once per prompt; their replies are kept in the folder ``ledger`` before they are used.
     """
-    made = asked(grounds.select("source_ref", "prompt"), "source_ref", generate, ("title", "text", "next_step", "cited")).where("how = 'ok'").drop("how")
+    made = asked(grounds.select("source_ref", "prompt"), "source_ref", generate, ("title", "text", "next_step", "cited"), ledger, "propose").where("how = 'ok'").drop("how")
     clean = [F.coalesce(strip(F.col(c)), F.lit("")).alias(c) for c in ("title", "text", "next_step")]
     p = grounds.drop("prompt").join(made.select("source_ref", *clean, F.coalesce("cited", F.lit("")).alias("cited")), "source_ref")
     p = p.withColumn("cites", normalize_cites(F.split("cited", ","), F.col("note_ids"))).withColumn("proposal_id", proposal_id(F.col("source_hash"), F.col("title")))
@@ -40,7 +40,7 @@ def generated(grounds: DataFrame, vectors: DataFrame, generate: Fields, critic:
     reason = F.when(~ok, "no_cites").when(F.col("novelty_sim") > PARAPHRASE, "paraphrase")
     p = p.withColumn("reject_reason", reason).withColumn("outcome", F.when(reason.isNull(), "pending").otherwise("rejected"))
     brief = F.concat("title", F.lit("\n"), "text", F.lit("\nNext step: "), "next_step")
-    rated = asked(p.where("outcome = 'pending'").select("proposal_id", brief.alias("prompt")), "proposal_id", critic, ("feasibility", "risk")).drop("how")
+    rated = asked(p.where("outcome = 'pending'").select("proposal_id", brief.alias("prompt")), "proposal_id", critic, ("feasibility", "risk"), ledger, "critic").drop("how")
     p = p.join(rated, "proposal_id", "left")
     # a rejected one without a title is told apart by its reason, and keeps what was said
     bare = F.length("title") == 0
