@@ -1,96 +1,46 @@
 from __future__ import annotations
 
-import pytest
 from pyspark.sql import functions as F
 
-from threadlode.operators import distill
+from threadlode.operators import distill, health
 from threadlode.providers import InvalidReply, Unavailable
-from threadlode.providers.errors import asked_wait, outcome_of
-from threadlode.providers.governor import LADDER, Governor, Memory, Router, chain, json_of
 
 
-class Failed(Exception):
-    def __init__(self, code=None, headers=None):
-        super().__init__(code)
-        self.status_code = code
-        self.response = type("R", (), {"headers": headers or {}})()
-
-
-def _governor(*models, patience=90.0, store=None):
-    """A governor on a clock that only sleeping moves; models are lists of replies, or errors to raise."""
-    now, slept = [1000.0], []
-
-    def sleep(s):
-        slept.append(s)
-        now[0] += s
-
-    def model(replies):
-        todo = list(replies)
-
-        def call(system, user):
-            r = todo.pop(0)
-            if isinstance(r, Exception):
-                raise r
-            return r
-
-        return call
-
-    g = Governor("p", [(f"m{k}", model(r)) for k, r in enumerate(models)], store or Memory(), lambda: now[0], sleep, patience)
-    return g, now, slept
-
-
-def test_success_resets_and_counts():
-    g, _, _ = _governor([{"a": 1}])
-    assert g.ask("sys", "usér") == {"a": 1}
-    s = g.state("m0")
-    assert (s["calls"], s["sent_bytes"], s["recv_bytes"], s["rung"]) == (1, 8, 8, 0)
-
-
-def test_limits_wait_climb_and_cool_down():
-    g, _, slept = _governor([Failed(429), Failed(429), Failed(429), "ok"])
-    with pytest.raises(Unavailable) as e:
-        g.ask("", "")
-    assert slept[0] == LADDER[0] and LADDER[1] in slept  # then 120 s, more than is left of the patience
-    s = g.state("m0")
-    assert s["rung"] == 2 and s["consecutive"] == 3 and s["est_rate"] == 0.0625 and e.value.until == s["cooldown_until"]
-
-
-def test_open_breakers_fall_through_and_close_in_time():
-    g, now, _ = _governor([Failed(429, {"Retry-After": "600"}), "later"], ["second", "third"])
-    assert g.ask("", "") == "second" and g.ask("", "") == "third"
-    now[0] += 700
-    assert g.ask("", "") == "later" and g.state("m0")["cooldown_until"] == 0.0
-
-
-def test_errors_of_server_and_client():
-    g, _, slept = _governor([Failed(500), Failed(503), "ok"])
-    assert g.ask("", "") == "ok" and slept == [1.0, 3.0]
-    g, _, slept = _governor([Failed(400)], ["ok"])
-    assert g.ask("", "") == "ok" and slept == []
-    g, _, _ = _governor([Failed(500), ValueError(), Failed(502)])
-    with pytest.raises(Failed):
-        g.ask("", "")
-
-
-def test_pacing_after_a_limit():
-    g, _, slept = _governor([Failed(429), "a", "b"])
-    g.ask("", "")
-    before = g.state("m0")["est_rate"]
-    g.ask("", "")
-    assert before == pytest.approx(0.3) and slept[-1] == pytest.approx(1 / 0.3) and g.state("m0")["est_rate"] == pytest.approx(0.35)
-
-
-def test_outcomes_waits_replies_and_chains():
-    assert [outcome_of(Failed(c)) for c in (429, 500, 404, None, "x")] == ["limited", "server", "client", "unknown", "unknown"]
-    assert asked_wait(Failed(429, {"retry-after": "Thu, 01 Jan 1970 00:01:40 GMT"}), 40) == 60
-    assert asked_wait(Failed(429, {"retry-after": "soon"}), 0) is None and asked_wait(Failed(429), 0) is None
-    assert json_of("```json\n{\"a\": [1]}\n```") == {"a": [1]} and json_of(" 3 ") == 3
-    with pytest.raises(InvalidReply):
-        json_of("no")
-    assert chain("x", ["a", "x", "b"]) == ["x", "a", "b"] and chain("x", ["a"], "propose") == ["x"] and chain(None, ["a", "b"], "label", [" c ", ""]) == ["c"]
-    made = []
-    router = Router(lambda role: made.append(role) or _governor(["ok"])[0])
-    assert router("label") is router("label") and router() is not router("label") and made == ["label", None]
+def _calls(spark, *rows):
+    return spark.createDataFrame([("p", m, at, how, wait, 10, 1) for m, at, how, wait in rows], "provider string, model string, at double, outcome string, told_wait double, sent long, received long")
+
+
+def test_health_by_a_plain_fold(spark):
+    import random
+
+    r = random.Random(5)
+    log = [(f"m{r.randrange(4)}", float(t), r.choice(["ok", "limited", "limited", "server", None]), r.choice([None, None, 7.0, 1e9])) for t in range(160)]
+    want = {}
+    for m, at, how, wait in log:
+        s = want.setdefault(m, {"cooldown_until": 0.0, "rung": 0, "consecutive": 0, "est_rate": None, "last_success": 0.0, "last_call": 0.0, "calls": 0, "sent_bytes": 0, "recv_bytes": 0})
+        s["last_call"] = at
+        if how == "ok":
+            s |= {"cooldown_until": 0.0, "rung": 0, "consecutive": 0, "last_success": at, "calls": s["calls"] + 1, "sent_bytes": s["sent_bytes"] + 10, "recv_bytes": s["recv_bytes"] + 1}
+            s["est_rate"] = s["est_rate"] and min(s["est_rate"] + health.GAIN, health.FASTEST)
+        elif how == "limited":
+            s["consecutive"] += 1
+            s["rung"] = min(s["consecutive"] - 1, len(health.LADDER))
+            s["est_rate"] = max(s["est_rate"] / 2, health.SLOWEST) if s["est_rate"] else health.SEED
+            s["cooldown_until"] = at + min(health.LONGEST, wait if wait is not None else (*health.LADDER, health.LONGEST)[s["rung"]])
+    got = {r["model"]: r.asDict() for r in health.after_calls(_calls(spark, *log)).collect()}
+    assert {*got} == {*want}
+    for m, s in want.items():
+        rate = s.pop("est_rate")
+        assert {k: got[m][k] for k in s} == s and abs(got[m]["est_rate"] - rate) < 1e-9
+    assert health.after_calls(_calls(spark)).count() == 0
+
+
+def test_next_models(spark):
+    known = health.after_calls(_calls(spark, ("a", 10.0, "limited", 50.0), ("b", 10.0, "limited", 20.0), ("c", 10.0, "ok", None)))
+    chains = spark.createDataFrame([("label", 0, "p", "a"), ("label", 1, "p", "c"), ("propose", 0, "p", "a"), ("propose", 1, "p", "c"), ("status", 0, "p", "a"), ("status", 1, "p", "b"), ("new", 0, "q", "z")], "role string, pos int, provider string, model string")
+    got = {r["role"]: (r["model"], r["until"]) for r in health.next_models(chains, known, 12.0).collect()}
+    assert got == {"label": ("c", None), "propose": (None, 60.0), "status": (None, 30.0), "new": ("z", None)}
+    assert {r["role"]: r["model"] for r in health.next_models(chains, known, 30.0).collect()}["status"] == "b"
 
 
 def _prompts(spark, n):

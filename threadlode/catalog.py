@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadlode.functions import text, vectors
-from threadlode.operators import caches, clustering, distill, embedding, judgments, store
+from threadlode.operators import caches, clustering, distill, embedding, health, judgments, store
 from threadlode.operators import links as link_ops
 from threadlode.operators import themes as theme_ops
 from threadlode.oracles import ORACLES  # noqa: F401  part of the registry
 from threadlode.plans import dashboard, doctor, lenses, proposals, review
 from threadlode.plans.bindings import FLOOR, NOW_US, Tables
 from threadlode.providers import Unavailable
-from threadlode.sources import demo, keyvalue, transcripts
+from threadlode.session import materialize
+from threadlode.sources import keyvalue, transcripts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -819,10 +820,10 @@ def now_view(t: Tables):
 
 @query
 def recall_warnings(t: Tables):
-    """Without a refresh, after a degraded one, after a sound one."""
-    states = {"never": t.meta(other="x"), "degraded": t.meta(last_refresh='{"degraded": true}'), "sound": t.meta(last_refresh='{"degraded": false}')}
-    parts = [dashboard.refresh_warnings(m).select(F.lit(k).alias("state"), "warning") for k, m in states.items()]
-    return parts[0].union(parts[1]).union(parts[2])
+    """Each conversation stands for a user: a third never refreshed, the others' last refresh was degraded, sound, or left no readable record."""
+    users = t.sessions.select(F.col("conv_id").alias("user_id"))
+    value = F.when(F.col("user_id") % 6 == 1, '{"degraded": true}').when(F.col("user_id") % 6 == 4, '{"degraded": false}').otherwise("not json")
+    return dashboard.warnings_by_user(users, users.where("user_id % 3 <> 0").select("user_id", F.lit("last_refresh").alias("key"), value.alias("value")))
 
 
 @query
@@ -842,11 +843,38 @@ def clamp_limit(t: Tables):
 
 @query
 def demo_seed(t: Tables):
-    """A first seed fills every table, a second adds nothing."""
-    first = demo.seed(t.spark)
-    again = demo.seed(t.spark, first["sessions"])
-    rows = [df.agg(F.count("*").alias("n_rows")).select(F.lit(f"{when}/{name}").alias("part"), "n_rows") for when, tables in (("first", first), ("again", again)) for name, df in sorted(tables.items())]
-    out = rows[0]
-    for row in rows[1:]:
-        out = out.union(row)
+    """A first seed of an empty store fills every table, a second adds nothing."""
+    seeds = {"sessions": (t.sessions.select("session_id", "content_hash"), "session_id"), "notes": (t.notes.select("note_id", "text"), "note_id"), "themes": (t.rollup.select("theme_id", "content_hash"), "theme_id"), "links": (t.links.select("link_id", "weight"), "link_id")}
+    out = None
+    for name, (rows, key) in sorted(seeds.items()):
+        first = store.insert_absent(rows.limit(0), rows, key)
+        again = store.insert_absent(first, rows, key)
+        n = first.agg(F.count("*").alias("n")).select(F.lit(f"first/{name}").alias("part"), F.col("n").alias("n_rows"))
+        n = n.union(again.agg(F.count("*").alias("n")).join(first.agg(F.count("*").alias("m"))).select(F.lit(f"again/{name}"), F.expr("n - m")))  # one row each
+        out = n if out is None else out.union(n)
     return out
+
+
+def _calls(t: Tables):
+    """Events as calls of 25 models."""
+    e = t.raw("events")
+    outcome = F.when(F.col("event_id") % 7 < 2, "limited").when(F.col("event_id") % 7 == 2, "server").otherwise("ok")
+    return e.select(
+        F.concat(F.lit("p"), (F.col("user_id") % 5).cast("string")).alias("provider"), F.col("event_type").alias("model"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"),
+        outcome.alias("outcome"), F.when(F.col("event_id") % 21 == 0, F.col("event_id") % 50).cast("double").alias("told_wait"), F.length("props").cast("long").alias("sent"), (F.col("event_id") % 9).alias("received"),
+    )
+
+
+@query
+def model_health(t: Tables):
+    h = health.after_calls(_calls(t))
+    return h.select("provider", "model", F.round("cooldown_until", 3).alias("cooldown_until"), "rung", "consecutive", F.round("est_rate", 6).alias("est_rate"), F.round("last_success", 3).alias("last_success"), F.round("last_call", 3).alias("last_call"), "calls", "sent_bytes", "recv_bytes")
+
+
+@query
+def model_choice(t: Tables):
+    """Each provider is a role whose chain are its models by name, and one role may ask its first model alone; asked half an hour before the last call."""
+    h = materialize(health.after_calls(_calls(t)), "model-health")
+    chains = h.select(F.when(F.col("provider") == "p0", "propose").otherwise(F.col("provider")).alias("role"), F.ascii("model").alias("pos"), "provider", "model")
+    now = h.agg(F.max("last_call").alias("x")).first()["x"]
+    return health.next_models(chains, h, (now or 0.0) - 1800).select("role", "provider", "model", F.round("until", 3).alias("until"))

@@ -161,6 +161,26 @@ _GIT = f""", fw AS (SELECT ref, unnest({_WORDS.format("title || ' ' || summary")
 , fx AS (SELECT * EXCLUDE (why), CASE WHEN status = 'open' AND git_ref IS NOT NULL THEN why || ' · a local commit may have addressed this' ELSE why END AS why FROM fg)
 """
 
+_HEALTH = """, calls AS (
+  SELECT 'p' || (user_id % 5) AS provider, event_type AS model, epoch_us(ts) / 1e6 AS moment, CASE WHEN event_id % 7 < 2 THEN 'limited' WHEN event_id % 7 = 2 THEN 'server' ELSE 'ok' END AS outcome,
+    CASE WHEN event_id % 21 = 0 THEN CAST(event_id % 50 AS DOUBLE) END AS told_wait, length(props) AS sent, event_id % 9 AS received FROM events
+), total AS (
+  SELECT provider, model, max(moment) AS last_call, max(moment) FILTER (WHERE outcome = 'ok') AS last_success, count(*) FILTER (WHERE outcome = 'ok') AS calls,
+    CAST(coalesce(sum(sent) FILTER (WHERE outcome = 'ok'), 0) AS BIGINT) AS sent_bytes, CAST(coalesce(sum(received) FILTER (WHERE outcome = 'ok'), 0) AS BIGINT) AS recv_bytes FROM calls GROUP BY ALL
+), since AS (
+  SELECT provider, model, count(*) AS consecutive, max(moment) AS limited_at, arg_max(coalesce(told_wait, -1), moment) AS told_wait FROM calls JOIN total USING (provider, model)
+  WHERE outcome = 'limited' AND (last_success IS NULL OR moment > last_success) GROUP BY ALL
+), placed AS (
+  SELECT *, count(*) FILTER (WHERE outcome = 'limited') OVER (PARTITION BY provider, model ORDER BY moment, CASE outcome WHEN 'limited' THEN 0 WHEN 'ok' THEN 2 ELSE 1 END ROWS UNBOUNDED PRECEDING) AS limits FROM calls
+), runs AS (SELECT provider, model, limits, count(*) FILTER (WHERE outcome = 'ok') AS gains FROM placed WHERE limits > 0 GROUP BY ALL),
+rates AS (
+  SELECT provider, model, list_reduce(list_prepend(0.5::DOUBLE, list(CAST(gains AS DOUBLE) ORDER BY limits)), lambda r, n: least(2.0::DOUBLE, greatest(r / 2, 1::DOUBLE / 120) + n * 0.05::DOUBLE)) AS est_rate FROM runs GROUP BY ALL
+), healthy AS (
+  SELECT t.provider, t.model, coalesce(limited_at + least(86400, CASE WHEN s.told_wait >= 0 THEN s.told_wait ELSE ([5, 30, 120, 900, 3600, 21600, 86400])[least(consecutive - 1, 6) + 1] END), 0) AS cooldown_until,
+    CAST(least(greatest(coalesce(consecutive, 0) - 1, 0), 6) AS INTEGER) AS rung, CAST(coalesce(consecutive, 0) AS INTEGER) AS consecutive, est_rate, coalesce(last_success, 0) AS last_success, last_call, calls, sent_bytes, recv_bytes
+  FROM total t LEFT JOIN since s USING (provider, model) LEFT JOIN rates USING (provider, model)
+)"""
+
 _TAILS = {
     "session_rollup": "SELECT session_id, title, started_us, n_messages FROM sessions",
     "session_content_hash": "SELECT session_id, content_hash FROM sessions",
@@ -323,12 +343,20 @@ SELECT h.note_id, substr(n.text, 1, 220) AS text, n.kind, n.source, strftime(mak
     "topics_listed": "SELECT theme_id, session_count FROM themes WHERE lower(trim(label)) NOT IN (SELECT label_lc FROM muted) ORDER BY session_count DESC, theme_id LIMIT 10",
     "now_view": """, l AS (SELECT * FROM themes WHERE status IN ('open', 'dormant') ORDER BY session_count DESC, theme_id LIMIT 3), b AS (SELECT * FROM told_links ORDER BY weight DESC, from_note, to_note LIMIT 3)
 SELECT 0 AS branch, 1 AS n, 'themes: ' || count(*) AS line FROM themes UNION ALL SELECT 1, CAST(row_number() OVER (ORDER BY session_count DESC, theme_id) AS INTEGER), label || '  [' || status || '] · ' || session_count || ' sessions' FROM l
-UNION ALL SELECT 2, CAST(row_number() OVER (ORDER BY weight DESC, from_note, to_note) AS INTEGER), substr(from_text, 1, 52) || ' ↔ ' || substr(to_text, 1, 52) FROM b UNION ALL SELECT 3, 1, 'the last refresh was degraded: labels and statuses may be incomplete'""",
-    "recall_warnings": "SELECT * FROM (VALUES ('never', 'no refresh has run yet: only what was distilled is seen'), ('degraded', 'the last refresh was degraded: labels and statuses may be incomplete')) AS x(state, warning)",
+UNION ALL SELECT 2, CAST(row_number() OVER (ORDER BY weight DESC, from_note, to_note) AS INTEGER), substr(from_text, 1, 52) || ' ↔ ' || substr(to_text, 1, 52) FROM b UNION ALL SELECT 3, 1, 'last refresh was degraded by provider rate limits — some labels/statuses may be incomplete'""",
+    "recall_warnings": """SELECT conv_id AS user_id, CASE WHEN conv_id % 3 = 0 THEN 'no refresh has run yet — recall sees only what''s been distilled' ELSE 'last refresh was degraded by provider rate limits — some labels/statuses may be incomplete' END AS warning
+FROM sessions WHERE conv_id % 3 = 0 OR conv_id % 6 = 1""",
     "status_report": "SELECT data_class, sum(n_rows)::BIGINT AS n_rows, sum(n_chars)::BIGINT AS n_chars FROM storage GROUP BY data_class",
     "emitted_themes": """SELECT theme_id AS key, '{"theme_id":"' || theme_id || '","session_count":' || session_count || ',"status":"' || status || '"}' AS json FROM themes""",
     "clamp_limit": "SELECT n_nationkey, CAST(greatest(1, least(25, n_nationkey * 3 - 9)) AS INTEGER) AS n FROM nation",
-    "demo_seed": "SELECT * FROM (VALUES ('first/embeddings', 5), ('first/links', 2), ('first/meta', 1), ('first/notes', 5), ('first/proposals', 1), ('first/sessions', 5), ('first/themes', 3), ('again/embeddings', 0), ('again/links', 0), ('again/meta', 0), ('again/notes', 0), ('again/proposals', 0), ('again/sessions', 0), ('again/themes', 0)) AS x(part, n_rows)",
+    "demo_seed": """, n AS (SELECT 'links' AS name, count(*) AS n FROM links UNION ALL SELECT 'notes', count(*) FROM notes UNION ALL SELECT 'sessions', count(*) FROM sessions UNION ALL SELECT 'themes', count(*) FROM themes)
+SELECT 'first/' || name AS part, n AS n_rows FROM n UNION ALL SELECT 'again/' || name, 0 FROM n""",
+    "model_health": _HEALTH + """
+SELECT provider, model, round(cooldown_until, 3) AS cooldown_until, rung, consecutive, round(est_rate, 6) AS est_rate, round(last_success, 3) AS last_success, round(last_call, 3) AS last_call, calls, sent_bytes, recv_bytes FROM healthy""",
+    "model_choice": _HEALTH + """, chains AS (SELECT CASE WHEN provider = 'p0' THEN 'propose' ELSE provider END AS role, ascii(model) AS pos, * FROM healthy), present AS (SELECT max(last_call) - 1800 AS now FROM healthy),
+offered AS (SELECT * FROM chains WHERE role <> 'propose' UNION ALL SELECT * FROM (SELECT * FROM chains WHERE role = 'propose' ORDER BY pos, provider, model LIMIT 1))
+SELECT role, min_by(provider, (pos, provider, model)) FILTER (WHERE cooldown_until <= now) AS provider, min_by(model, (pos, provider, model)) FILTER (WHERE cooldown_until <= now) AS model,
+  CASE WHEN count(*) FILTER (WHERE cooldown_until <= now) = 0 THEN round(min(cooldown_until), 3) END AS until FROM offered, present GROUP BY role""",
     "stream_ingest": "SELECT session_id, count(*) AS n_messages, sha256(string_agg(role || ':' || text, chr(10) ORDER BY idx)) AS content_sha FROM told WHERE conv_id % 2 = 0 OR idx < 2 GROUP BY session_id",
 }
 

@@ -86,7 +86,21 @@ def json_field(text: Column, name: str) -> Column:
 
 
 def refresh_warnings(meta: DataFrame) -> DataFrame:
-    """(warning): none if the last refresh was sound; else that there was none yet, or that it was degraded."""
-    raw = meta.where("key = 'last_refresh'").agg(F.max("value").alias("v"))
-    text = F.when(F.col("v").isNull(), "no refresh has run yet: only what was distilled is seen").when(json_field(F.col("v"), "degraded") == "true", "the last refresh was degraded: labels and statuses may be incomplete")
-    return raw.select(text.alias("warning")).where("warning is not null")
+    """(warning): none if the last refresh was sound or its record can't be read; else that there was none yet, or that it was degraded."""
+    return meta.where("key = 'last_refresh'").agg(F.max("value").alias("v")).select(warning_of(F.col("v")).alias("warning")).where("warning is not null")
+
+
+def warning_of(record: Column) -> Column:
+    """What to warn of, given the record of the last refresh, or null."""
+    return F.when(F.coalesce(record, F.lit("")) == "", NEVER).when(json_field(record, "degraded") == "true", DEGRADED)
+
+
+def warnings_by_user(users: DataFrame, meta: DataFrame) -> DataFrame:
+    """(user_id, warning) of the users with something to warn of; ``meta(user_id, key, value)``."""
+    last = meta.where("key = 'last_refresh'").groupBy("user_id").agg(F.max("value").alias("v"))
+    return users.select("user_id").join(last, "user_id", "left").select("user_id", warning_of(F.col("v")).alias("warning")).where("warning is not null")
+
+
+#: The two warnings.
+NEVER = "no refresh has run yet — recall sees only what's been distilled"
+DEGRADED = "last refresh was degraded by provider rate limits — some labels/statuses may be incomplete"

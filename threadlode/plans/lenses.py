@@ -17,6 +17,7 @@ SEARCH_K, HOT = 25, 0.15
 COMMITS, SHARED_WORDS = 300, 3
 #: Sentences that users read.
 IMPLEMENTED, ADDRESSED = "possibly implemented in ", " · a local commit may have addressed this"
+FOUND, NOT_FOUND = "Relevant prior context (query: “{}”):\n\n", "no prior context found for “{}”"
 CAUTION = "Treat this as prior context, not ground truth — verify against the current code."
 
 
@@ -115,8 +116,8 @@ def handoff(hits: DataFrame, query: str) -> DataFrame:
     git = F.coalesce(F.concat(F.lit("\n   "), "git_ref"), F.lit(""))
     block = F.concat(F.col("rank").cast("string"), F.lit(". "), F.col("title"), status, F.lit(" — "), F.col("summary"), F.lit("\n   why: "), F.col("why"), git, F.lit("\n   sources: "), F.array_join("sources", "; "))
     g = hits.select("rank", block.alias("block"), "cites").agg(F.array_sort(F.collect_list(F.struct("rank", "block"))).alias("b"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("cites")))).alias("c"))
-    text = F.concat(F.lit(f"Relevant prior context (query: “{query}”):\n\n"), F.array_join(F.transform("b", lambda x: x["block"]), "\n"), F.lit(f"\n\n{CAUTION}\ncites: "), F.array_join("c", ", "))
-    return g.select(F.when(F.size("b") > 0, text).otherwise(F.lit(f"no prior context found for “{query}”")).alias("handoff"))
+    text = F.concat(F.lit(FOUND.format(query)), F.array_join(F.transform("b", lambda x: x["block"]), "\n"), F.lit(f"\n\n{CAUTION}\ncites: "), F.array_join("c", ", "))
+    return g.select(F.when(F.size("b") > 0, text).otherwise(F.lit(NOT_FOUND.format(query))).alias("handoff"))
 
 
 def ask(notes: DataFrame, themes: DataFrame, query: Sequence[float]) -> DataFrame:

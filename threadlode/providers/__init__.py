@@ -1,4 +1,4 @@
-"""Seams to language models: errors, replies, a governor of calls, and models by role. Driver-side Python; no network here."""
+"""The seam to language models: a provider is a function of a prompt, and these are what it may raise. No network here."""
 
 from __future__ import annotations
 

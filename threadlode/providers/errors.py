@@ -1,9 +1,8 @@
-"""What a provider may raise, and what an error of its transport means."""
+"""What a provider may raise."""
 
 from __future__ import annotations
 
 import time
-from email.utils import parsedate_to_datetime
 
 
 class Unavailable(Exception):
@@ -19,36 +18,3 @@ class Unavailable(Exception):
 
 class InvalidReply(Exception):
     """The model answered, but not with the JSON that was asked for."""
-
-
-def status_code(error: BaseException) -> int | None:
-    for holder in (error, getattr(error, "response", None)):
-        try:
-            return int(holder.status_code)
-        except (AttributeError, TypeError, ValueError):
-            continue
-    return None
-
-
-def outcome_of(error: BaseException) -> str:
-    """``limited`` (429), ``server`` (5xx), ``client`` (other 4xx) or ``unknown``."""
-    code = status_code(error) or 0
-    if code == 429:
-        return "limited"
-    return "server" if code >= 500 else "client" if code >= 400 else "unknown"
-
-
-def asked_wait(error: BaseException, now: float) -> float | None:
-    """Seconds of a Retry-After header: a number, or a date; null if there is none that can be read."""
-    headers = getattr(getattr(error, "response", None), "headers", None) or {}
-    given = next((v for k, v in dict(headers).items() if str(k).lower() == "retry-after"), None)
-    if given is None:
-        return None
-    try:
-        return max(0.0, float(given))
-    except (TypeError, ValueError):
-        pass
-    try:
-        return max(0.0, parsedate_to_datetime(str(given)).timestamp() - now)
-    except (TypeError, ValueError):
-        return None
