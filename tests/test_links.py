@@ -51,3 +51,14 @@ def test_theme_pairs(spark):
     rows = spark.createDataFrame([("l1", "a", "b", "t1", "t2", 0.9), ("l2", "c", "d", "t2", "t1", 1.2), ("l3", "e", "f", None, "t1", 0.5)], "link_id string, from_note string, to_note string, from_theme string, to_theme string, weight double")
     got = {(r["theme_a"], r["theme_b"]): (r["n_links"], r["max_weight"], r["sample_link"]) for r in links.theme_pairs(rows).collect()}
     assert got == {("t1", "t2"): (2, 1.2, "l2"), ("?", "t1"): (1, 0.5, "l3")}
+
+
+def test_many_equal_weights_at_the_edge_of_a_rounding(spark):
+    """Over a hundred pairs whose weight is right between two roundings, and others that win if it is rounded down."""
+    turned = lambda c: [c, (1 - c * c) ** 0.5, 0.0]
+    rows = [(f"m{k:02d}", "t1", "s", 0, [1.0, 0.0, 0.0]) for k in range(12)] + [(f"n{k:02d}", "t2", "s", 0, turned(0.80005)) for k in range(12)]
+    rows += [(f"a{k:02d}", "t3", "s", 0, [0.80001, 0.0, (1 - 0.80001**2) ** 0.5]) for k in range(6)]
+    notes = _notes(spark, rows)
+    pairs = lambda df: [(r["from_note"], r["to_note"], r["weight"]) for r in df.collect()]
+    for top in (5, 20, 100, 180):
+        assert pairs(links.links(notes, top=top)) == pairs(links.best(links.links(notes, top=None), top))

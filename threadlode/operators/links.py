@@ -13,8 +13,6 @@ from threadlode.functions.vectors import EPSILON
 FLOOR, TIME_WEIGHT, SOURCE_WEIGHT, TOP, BLOCK = 0.6, 1.0, 0.5, 200, 4096
 #: Rows of a block that are multiplied at a time.
 STRIP = 1024
-#: Pairs that leave a task beyond the best, as weights right at the edge of a rounding may fall to either side.
-EDGE = 50
 
 
 def _dealt(notes: DataFrame, block: int, *others: str) -> DataFrame:
@@ -59,21 +57,26 @@ def similar_pairs(notes: DataFrame, floor: float = FLOOR, block: int = BLOCK) ->
 
 def heaviest(notes: DataFrame, floor: float, top: int, block: int = BLOCK) -> DataFrame:
     """(a, b, sim) that hold the ``top`` heaviest links: of each pair of blocks only as many leave the task, so what is
-    shuffled on depends on the blocks and not on the pairs. Weights that could round to the same stay together."""
+    shuffled on depends on the blocks and not on the pairs. Weights at the edge of a rounding are kept apart from the others, ``top`` of each weight, so
+    that none is lost, whichever way it is rounded later."""
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("note_id")
         ids, source = pdf["note_id"].to_numpy(), pd.factorize(pdf["source"])[0]
         us = pdf["created_us"].astype("float64").to_numpy()  # whole microseconds, exact in doubles
-        held = pd.DataFrame({"a": [], "b": [], "sim": [], "w": []})
+        held = pd.DataFrame({"a": [], "b": [], "sim": [], "w": [], "exact": [], "edge": np.zeros(0, bool)})
         for i, j, s in _pairs_of(pdf, floor):
             gap = np.nan_to_num(np.abs(np.floor((us[i] - us[j]) / DAY_US)))
             w = s * (1 + TIME_WEIGHT * np.minimum(gap / 90, 1) + SOURCE_WEIGHT * (source[i] != source[j]))
-            some = pd.DataFrame({"a": ids[i], "b": ids[j], "sim": s, "w": np.floor(w * 1e4 + 0.5)})
-            # a weight right at the edge between two roundings counts as the greater
-            some["w"] += (w * 1e4 + 0.5 - some["w"]) > 1 - 1e-6
-            both = pd.concat([held, some]) if len(held) else some
-            held = both.sort_values(["w", "a", "b"], ascending=[False, True, True]).head(top + EDGE)
+            some = pd.DataFrame({"a": ids[i], "b": ids[j], "sim": s, "w": np.floor(w * 1e4 + 0.5), "exact": w})
+            # a weight right at the edge between two roundings may fall to either side; it counts as the greater
+            some["edge"] = (w * 1e4 + 0.5 - some["w"] > 1 - 1e-6) | (w * 1e4 + 0.5 - some["w"] < 1e-6)
+            some["w"] += w * 1e4 + 0.5 - some["w"] > 1 - 1e-6
+            both = (pd.concat([held, some]) if len(held) else some).sort_values(["w", "a", "b"], ascending=[False, True, True])
+            plain, edge = both[~both["edge"]].head(top), both[both["edge"]]
+            if len(plain) == top:  # those of a lower weight are beaten by so many, whichever way they fall
+                edge = edge[edge["w"] >= plain["w"].iloc[-1]]
+            held = pd.concat([plain, edge.groupby("exact").head(top)])  # equal weights fall to the same side, so ids decide among them
         return held[["a", "b", "sim"]]
 
     rows = _dealt(notes, block, "source", "created_us")
