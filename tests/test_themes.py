@@ -99,16 +99,47 @@ def test_clusters_against_the_definition():
         assert (clustering.cluster(v, least) == _plain_clusters(v, least)).all(), trial
 
 
-def test_deep_trees_and_too_many_notes(monkeypatch, spark):
-    import pytest
-
+def test_deep_trees():
     v = np.array([[np.cos(0.8**k), np.sin(0.8**k)] for k in range(1500)])  # each point joins one by one
     assert len(clustering.cluster(v, 2)) == 1500
-    monkeypatch.setattr(clustering, "MOST_NOTES", 3)
-    rows = spark.createDataFrame([("u", f"n{k}", [1.0, float(k)]) for k in range(5)], "user_id string, note_id string, vec array<double>")
-    try:
-        clustering.cluster_notes(rows).collect()
-    except Exception as e:  # noqa: BLE001
-        assert "split them by time" in str(e)
-    else:
-        pytest.skip("workers import the module anew and see the real bound")
+
+
+def _notes(spark, users):
+    rows = [(u, f"n{k:04d}", None if x is None else [float(c) for c in x]) for u, v in users.items() for k, x in enumerate(v)]
+    return spark.createDataFrame(rows, "user_id string, note_id string, vec array<double>").repartition(3)
+
+
+def test_any_size_of_block_gives_the_same_clusters(spark):
+    r = np.random.default_rng(5)
+    centres = r.standard_normal((6, 4))
+    big = centres[r.integers(0, 6, 150)] + 0.2 * r.standard_normal((150, 4))
+    big[20:50] = big[20]  # copies: distances of zero, and equal ones to all others
+    users = {"big": big, "small": big[60:90], "two": big[:2], "one": big[:1]}
+    want = {(u, f"n{k:04d}"): int(c) for u, v in users.items() for k, c in enumerate(clustering.cluster(v, 3))}
+    assert len(set(want.values())) > 3
+    for block in (7, 32, 64, 2048):  # 22 blocks, 5, 3 and one
+        got = {(x["user_id"], x["note_id"]): x["cluster"] for x in clustering.cluster_notes(_notes(spark, users), 3, block).collect()}
+        assert got == want, block
+
+
+def test_blocks_against_the_definition(spark):
+    r = np.random.default_rng(8)
+    users = {}
+    for trial in range(6):
+        centres = r.standard_normal((3, 4))
+        users[f"u{trial}"] = centres[r.integers(0, 3, 40)] + 0.3 * r.standard_normal((40, 4))
+    got = {(x["user_id"], x["note_id"]): x["cluster"] for x in clustering.cluster_notes(_notes(spark, users), 3, 9).collect()}
+    assert got == {(u, f"n{k:04d}"): int(c) for u, v in users.items() for k, c in enumerate(_plain_clusters(v, 3))}
+
+
+def test_odd_notes_are_noise_and_too_many_an_error(spark):
+    import pytest
+
+    good = [[1.0, 0.001 * k] if k % 2 else [0.001 * k, 1.0] for k in range(12)]
+    rows = _notes(spark, {"u": good + [None, [float("nan"), 1.0], [float("inf"), 0.0]], None: good})
+    got = sorted((x["user_id"] or "", x["note_id"], x["cluster"]) for x in clustering.cluster_notes(rows, 3, 5).collect())
+    assert len(got) == 27 and [c for _, n, c in got if n >= "n0012"] == [-1] * 3
+    assert [c for u, n, c in got if u == ""] == [k % 2 for k in range(12)] == [c for u, n, c in got if u and n < "n0012"]
+    assert clustering.cluster_notes(rows.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="split them by time"):
+        clustering.cluster_notes(rows, most=11)
