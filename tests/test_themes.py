@@ -104,6 +104,16 @@ def test_deep_trees():
     assert len(clustering.cluster(v, 2)) == 1500
 
 
+def test_a_pair_of_blocks_in_small_matrices():
+    v = np.random.default_rng(6).standard_normal((40, 3))
+    v[10:20] = v[10]
+    for split in (None, 13, 40):
+        want = clustering.block_tree(v, split)
+        for side in (4, 15, 50):
+            assert all((a == b).all() for a, b in zip(clustering.pair_tree(v, split, side), want)), (split, side)
+    assert len(want[0]) == 0  # no row on the other side
+
+
 def _notes(spark, users):
     rows = [(u, f"n{k:04d}", None if x is None else [float(c) for c in x]) for u, v in users.items() for k, x in enumerate(v)]
     return spark.createDataFrame(rows, "user_id string, note_id string, vec array<double>").repartition(3)

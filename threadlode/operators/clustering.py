@@ -3,7 +3,7 @@
 It then is single linkage, a condensed tree, and the choice of the most stable clusters, the root excluded. Clusters are
 numbered by their smallest member.
 
-The n^2 distances are looked at once, in pairs of blocks of notes, each pair a task of its own with a matrix of fixed size.
+The n^2 distances are looked at once, in pairs of blocks of notes, each pair a task of its own with matrices of fixed size.
 A pair keeps the spanning tree of its own distances: an edge that isn't the shortest way anywhere in a part isn't in the
 whole either, so the trees of all pairs hold the tree of all. Trees of neighbouring pairs are then joined, four at a time,
 until one is left. Only that tree, three numbers a note, meets in one task, which condenses it.
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from threadlode.session import materialize
 
-#: Notes of a block. A task holds a matrix of BLOCK x BLOCK long integers, 32 MB.
-BLOCK = 2048
+#: Notes of a block, and of a side of the matrix of long integers, 32 MB, that a task holds at a time.
+BLOCK, SIDE = 8192, 2048
 #: Notes of one user whose tree a task condenses, at some 200 bytes a note; beyond it an error is raised, and the caller has to split by time.
 MOST_NOTES = 5_000_000
 #: Steps of 1 - cosine; with two positions of 12 bits each, an edge is one long integer.
@@ -78,6 +78,24 @@ def joined_tree(steps: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
+def pair_tree(v: np.ndarray, split: int | None = None, side: int = SIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``block_tree``, for any number of rows: the trees of ``side`` x ``side`` distances, joined."""
+    n = len(v)
+    parts = [np.arange(at, min(at + side, end)) for begin, end in ((0, split or 0), (split or 0, n)) for at in range(begin, end, side)]
+    edges = [np.zeros((3, 0), np.int64)]
+    for k, x in enumerate(parts):
+        for y in parts[k:] if split is None else parts[k + 1 :]:
+            if split is not None and (x[0] < split) == (y[0] < split):
+                continue
+            own = x is y
+            at = x if own else np.concatenate([x, y])
+            steps, i, j = block_tree(v[at], None if own else len(x))
+            edges.append(np.stack([steps, at[i], at[j]]))
+    steps, a, b = np.concatenate(edges, axis=1)
+    kept = joined_tree(steps, a, b)
+    return steps[kept], a[kept], b[kept]
+
+
 def merges_of(steps: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Merges (left, right, distance, size) of a tree over 0..n-1 whose edges come shortest first."""
     n = len(steps) + 1
@@ -166,10 +184,10 @@ def condensed_labels(merges: np.ndarray, n: int, least: int) -> np.ndarray:
 
 
 def cluster(v: np.ndarray, least: int) -> np.ndarray:
-    """Clusters of one block of vectors."""
+    """Clusters of vectors that one task holds."""
     if len(v) < max(least, 2):
         return np.full(len(v), -1)
-    return condensed_labels(merges_of(*block_tree(v)), len(v), least)
+    return condensed_labels(merges_of(*pair_tree(v)), len(v), least)
 
 
 def _numbered(notes: DataFrame) -> DataFrame:
@@ -188,7 +206,7 @@ EDGES = "first long, last long, low long, high long, steps long, a long, b long"
 def _pair(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("_n")
     low, high, ids = pdf["low"].iloc[0], pdf["high"].iloc[0], pdf["_n"].to_numpy()
-    steps, i, j = block_tree(np.array(pdf["vec"].tolist(), float), None if low == high else int((pdf["own"] == low).sum()))
+    steps, i, j = pair_tree(np.array(pdf["vec"].tolist(), float), None if low == high else int((pdf["own"] == low).sum()))
     return pd.DataFrame({"first": pdf["first"].iloc[0], "last": pdf["last"].iloc[0], "low": low, "high": high, "steps": steps, "a": ids[i], "b": ids[j]})
 
 
@@ -213,7 +231,7 @@ def cluster_notes(notes: DataFrame, least: int | None = None, block: int = BLOCK
     """(user_id, note_id, cluster) of notes (user_id, note_id, vec); -1 is noise.
 
     ``least`` members make a cluster (unset: by the user's notes). A vector that is null or holds null or non-finite components is
-    noise and counts for nothing. Rows that repeat a note are notes of their own, and a null user is a user. ``block`` is 2,048 at most.
+    noise and counts for nothing. Rows that repeat a note are notes of their own, and a null user is a user.
     """
     own = notes.select("user_id", "note_id", F.col("vec").cast("array<double>").alias("vec"))
     whole = F.expr("coalesce(forall(vec, x -> coalesce(not isnan(x) and abs(x) < double('Infinity'), false)), false)")
