@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from threadlode.functions.ids import DAY_US
 from threadlode.operators import clustering, themes
@@ -36,6 +39,26 @@ def test_rollup_counts_members(spark):
     assert r["label"] == "first words of a text that is much" and themes.rollup(df).count() == 1
 
 
+def test_theme_hash_is_of_the_set_and_needs_no_list(spark):
+    rows = [(f"n{k:03d}", "hot" if k % 4 else f"t{k}", "s:1", "s", k, f"text {k}") for k in range(200)]
+    df = spark.createDataFrame(rows, "note_id string, theme_id string, session_id string, source string, created_us long, text string")
+    hashes = lambda d: {r["theme_id"]: r["content_hash"] for r in themes.rollup(d).select("theme_id", "content_hash").collect()}
+    want = hashes(df.coalesce(1))
+    assert hashes(df.repartition(7).orderBy(F.desc("text"))) == want and len({*want.values()}) == 51
+    parts = [[0] * 8, 0]
+    for n, theme, *_, text in rows:
+        if theme == "hot":
+            h = hashlib.sha256(f"{n}:{text}".encode()).hexdigest()
+            parts = [[a + int(h[8 * k : 8 * k + 8], 16) for k, a in enumerate(parts[0])], parts[1] + 1]
+    assert want["hot"] == hashlib.sha256(",".join(map(str, [parts[1], *parts[0]])).encode()).hexdigest()
+    changed = df.withColumn("text", F.when(F.col("note_id") == "n001", "another").otherwise(F.col("text")))
+    got = hashes(changed)
+    assert got["hot"] != want["hot"] and all(got[t] == want[t] for t in want if t != "hot")
+    assert hashes(df.where("note_id <> 'n001'"))["hot"] != want["hot"] and hashes(df.limit(0)) == {}
+    plan = themes.rollup(df).select("theme_id", "content_hash", "n_notes")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+
+
 def test_two_angular_groups_and_noise():
     r = np.random.default_rng(0)
     base = np.array([[1.0, 0, 0], [0, 1.0, 0]])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadlode.functions.ids import DAY_US, members_hash
+from threadlode.functions.ids import DAY_US, set_hash
 from threadlode.functions.text import fallback_label
 
 RECURRING_SESSIONS, RECURRING_DAYS, STALE_DAYS = 2, 14, 60
@@ -16,7 +16,9 @@ def scaled_min_cluster_size(n: Column) -> Column:
 
 
 def rollup(notes: DataFrame) -> DataFrame:
-    """One row per theme over its notes; those without a theme are noise."""
+    """One row per theme over its notes; those without a theme are noise.
+
+    Only ``note_ids`` is a list; where it isn't read it isn't made, and all else is added up in parts."""
     grouped = notes.where("theme_id is not null").groupBy("theme_id").agg(
         F.countDistinct("session_id").alias("session_count"),
         F.countDistinct("source").alias("source_count"),
@@ -24,7 +26,7 @@ def rollup(notes: DataFrame) -> DataFrame:
         F.max("created_us").alias("last_us"),
         F.count("*").alias("n_notes"),
         F.array_sort(F.collect_list("note_id")).alias("note_ids"),
-        members_hash(F.collect_list(F.sha2(F.concat_ws(":", "note_id", "text"), 256))).alias("content_hash"),
+        set_hash(F.concat_ws(":", "note_id", "text")).alias("content_hash"),
         fallback_label(F.min_by("text", "note_id")).alias("label"),
     )
     return grouped.withColumn("span_days", F.expr(f"(last_us - first_us) div {DAY_US}"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 DAY = 86_400_000_000
 NOW = 1_782_864_000_000_000
+#: Sums of the eight 32-bit parts of the hashes h of a group.
+_LANES = " || ".join(f"',' || sum(('0x' || substr(h, {8 * k + 1}, 8))::BIGINT)" for k in range(8))
 
 _BASE = f"""
 messages AS (
@@ -30,8 +32,8 @@ messages AS (
 ), rollup_ AS (
   SELECT theme_id, count(DISTINCT session_id) AS session_count, count(DISTINCT source) AS source_count, min(created_us) AS first_us, max(created_us) AS last_us,
     count(*) AS n_notes, (max(created_us) - min(created_us)) // {DAY} AS span_days, list_sort(list(note_id)) AS note_ids,
-    sha256(string_agg(sha256(note_id || ':' || text), chr(10) ORDER BY sha256(note_id || ':' || text))) AS content_hash, min_by(text, note_id) AS first_text
-  FROM notes WHERE theme_id IS NOT NULL GROUP BY theme_id
+    sha256(count(*) || {_LANES}) AS content_hash, min_by(text, note_id) AS first_text
+  FROM (SELECT *, sha256(note_id || ':' || text) AS h FROM notes WHERE theme_id IS NOT NULL) GROUP BY theme_id
 ), labelled AS (
   SELECT *, CASE WHEN length(first_text) > 40 THEN regexp_replace(regexp_replace(substr(first_text, 1, 40), ' [^ ]*$', ''), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') ELSE first_text END AS label FROM rollup_
 ), themes AS (
