@@ -4,8 +4,10 @@ import json
 import sqlite3
 import zipfile
 
+import pytest
+
 from threadlode.sources import keyvalue, transcripts
-from threadlode.streaming.ingest import SessionTable, ingest_stream
+from threadlode.streaming.ingest import FILES, SLOTS, SessionTable, ingest_stream
 
 
 def _rows(df):
@@ -122,5 +124,56 @@ def test_only_touched_buckets_are_written(spark, tmp_path):
     lines = lambda ids, text: spark.createDataFrame([(json.dumps({"source": "s", "native_id": str(k), "messages": [{"role": "user", "text": text}]}),) for k in ids], "value string")
     table.apply(parse_jsonl(lines(range(40), "old")))
     table.apply(parse_jsonl(lines([3], "new")))
-    assert len(list((tmp_path / "t" / "v-2").glob("bucket=*"))) == 1
+    assert sorted(table.manifest().slots.values()) == [0] * 7 + [1] and len(list((tmp_path / "t" / "data").glob("bucket=*/slot=1"))) == 1
     assert sorted(r["messages"][0]["text"] for r in table.current().collect()) == ["new"] + ["old"] * 39
+
+
+def _session(spark, **texts):
+    from threadlode.sources.transcripts import parse_jsonl
+
+    return parse_jsonl(spark.createDataFrame([(json.dumps({"source": "s", "native_id": k, "messages": [{"role": "user", "text": t}]}),) for k, t in texts.items()], "value string"))
+
+
+def _texts(table):
+    return {r["native_id"]: r["messages"][0]["text"] for r in table.current().collect()}
+
+
+def test_replayed_batches_change_nothing(spark, tmp_path):
+    table = SessionTable(spark, str(tmp_path / "t"), 4)
+    assert table.apply(_session(spark, a="1"), "one", 0) and table.apply(_session(spark, a="2"), "one", 1)
+    assert not table.apply(_session(spark, a="1"), "one", 0) and not table.apply(_session(spark, a="other"), "one", 1)
+    assert _texts(table) == {"a": "2"} and table.apply(_session(spark, b="3"), "two", 0) and _texts(table) == {"a": "2", "b": "3"}
+    assert table.apply(_session(spark), "one", 2) and table.manifest().batches == {"one": 2, "two": 0} and _texts(table) == {"a": "2", "b": "3"}
+
+
+def test_a_stream_is_known_by_its_query(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    table = SessionTable(spark, str(tmp_path / "t"), 4)
+    for k in range(2):
+        (tmp_path / "in" / str(k)).write_text(json.dumps({"source": "s", "native_id": "a", "messages": [{"role": "user", "text": str(k)}]}))
+        ingest_stream(spark, str(tmp_path / "in"), table, str(tmp_path / "cp")).awaitTermination()
+    stream = json.loads((tmp_path / "cp" / "metadata").read_text())["id"]
+    assert table.manifest().batches == {stream: 1} and _texts(table) == {"a": "1"}
+
+
+def test_a_batch_that_dies_leaves_the_last_state(spark, tmp_path, monkeypatch):
+    table = SessionTable(spark, str(tmp_path / "t"), 2)
+    table.apply(_session(spark, a="1", b="1", c="1"), "s", 0)
+    with monkeypatch.context() as m:
+        m.setattr(SessionTable, "_commit", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        for _ in range(4):  # also when it dies more often than there are slots
+            with pytest.raises(RuntimeError, match="lost"):
+                table.apply(_session(spark, a="2", d="2"), "s", 1)
+            assert _texts(table) == {"a": "1", "b": "1", "c": "1"}
+    assert table.apply(_session(spark, a="2", d="2"), "s", 1) and _texts(table) == {"a": "2", "b": "1", "c": "1", "d": "2"}
+    with pytest.raises(ValueError, match="has 2 buckets"):
+        SessionTable(spark, str(tmp_path / "t"), 3).current()
+
+
+def test_files_stay_bounded(spark, tmp_path):
+    table = SessionTable(spark, str(tmp_path / "t"), 2)
+    for k in range(12):
+        table.apply(_session(spark, **{str(j): str(k) for j in range(k % 3, 12)}), "s", k)
+    assert _texts(table) == {str(j): str(11 if j > 1 else 10 if j else 9) for j in range(12)}
+    files = lambda part: len(list((tmp_path / "t" / part).rglob("*.parquet")))
+    assert files("data") <= 2 * FILES * SLOTS and files("manifest") == SLOTS
