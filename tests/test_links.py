@@ -41,6 +41,12 @@ def test_blocks_do_not_change_the_result(spark):
     assert small == whole and small
 
 
+def test_blocks_without_rows_on_one_side(spark):
+    rows = _notes(spark, [(f"n{k}", f"t{k}", "s", k, [1.0, 0.0]) for k in range(3)])
+    assert links.similar_pairs(rows, 0.6, 1).count() == links.heaviest(rows, 0.6, 9, 1).count() == 3
+    assert links.heaviest(rows.limit(0), 0.6, 9, rest=rows).count() == 0 and links.heaviest(rows.where("note_id = 'n1'"), 0.6, 9, 1, rest=rows.where("note_id <> 'n1'")).count() == 2
+
+
 def test_ids_are_symmetric_and_gaps_floor(spark):
     df = spark.createDataFrame([("x", "y", int(1.5 * DAY_US), 0)], "a string, b string, u long, v long")
     r = df.select(link_id(F.col("a"), F.col("b")).alias("p"), link_id(F.col("b"), F.col("a")).alias("q"), gap_days(F.col("u"), F.col("v")).alias("g"), gap_days(F.col("v"), F.col("u")).alias("h")).first()

@@ -13,7 +13,7 @@ from threadlode.oracles import ORACLES
 from threadlode.plans import review
 
 #: Plans that between them use every operator; the driver compares all queries.
-SOME = ("upsert_classify", "pending_distill", "render_prompt", "links_topk", "recall", "recall_handoff", "digest_items", "proposal_candidates", "overview", "timeline_weeks", "commit_xref", "export_sessions", "kv_spellings", "label_cache", "status_cache", "digest_outcomes", "doctor_checks", "embed_missing", "recall_commits", "digests_data", "theme_content_hash", "theme_rollup")
+SOME = ("upsert_classify", "pending_distill", "render_prompt", "links_topk", "recall", "recall_handoff", "digest_items", "proposal_candidates", "overview", "timeline_weeks", "commit_xref", "export_sessions", "kv_spellings", "label_cache", "status_cache", "digest_outcomes", "doctor_checks", "embed_missing", "recall_commits", "digests_data", "theme_content_hash", "theme_rollup", "refresh_links", "refresh_themes", "stream_ingest")
 
 
 @pytest.fixture(scope="module")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadlode.functions import text, vectors
-from threadlode.operators import caches, clustering, distill, embedding, health, judgments, store
+from threadlode.operators import caches, clustering, distill, embedding, health, judgments, refresh, store
 from threadlode.operators import links as link_ops
 from threadlode.operators import themes as theme_ops
 from threadlode.oracles import ORACLES  # noqa: F401  part of the registry
@@ -241,6 +241,33 @@ def links_all(t: Tables):
     return pairs.groupBy(F.col("a").alias("note_id")).agg(F.count("*").alias("n_links"))
 
 
+def _notes_before(t: Tables):
+    """The notes before a change set of about an eighth: a fiftieth was not there yet, another had other vectors, two had other
+    themes or texts, and of a further one there were second notes, which are gone since."""
+    at = lambda k: F.col("vec_id") % 50 == k
+    old = t.notes.where(~at(1)).select(
+        "note_id", F.when(at(3), "theme:0-0").otherwise(F.col("theme_id")).alias("theme_id"), "source", "session_id", F.when(at(5), F.concat("text", F.lit(" (draft)"))).otherwise(F.col("text")).alias("text"),
+        "created_us", F.when(at(2), F.reverse("vec")).otherwise(F.col("vec")).alias("vec"),
+    )
+    gone = t.notes.where(at(4)).select(F.concat("note_id", F.lit("-gone")).alias("note_id"), F.lit("theme:gone").alias("theme_id"), "source", "session_id", "text", "created_us", "vec")
+    return materialize(old.unionByName(gone), "notes-before")
+
+
+@query
+def refresh_links(t: Tables):
+    """Links kept from before a change set and refreshed: the same as those made anew."""
+    before, after = _notes_before(t), materialize(t.notes, "notes")
+    kept = refresh.refresh_links(refresh.build_links(before, FLOOR), before, after, FLOOR)
+    return link_ops.best(kept.rows, link_ops.TOP).select("link_id", "from_note", "to_note", "weight", "gap_days")
+
+
+@query
+def refresh_themes(t: Tables):
+    before, after = _notes_before(t), materialize(t.notes, "notes")
+    rows = refresh.refresh_themes(materialize(theme_ops.rollup(before), "themes-before"), before, after)
+    return rows.select("theme_id", "session_count", "source_count", "first_us", "last_us", "n_notes", "content_hash")
+
+
 @query
 def connections(t: Tables):
     return lenses.connections(t.notes, t.links)

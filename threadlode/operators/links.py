@@ -13,6 +13,8 @@ from threadlode.functions.vectors import EPSILON
 FLOOR, TIME_WEIGHT, SOURCE_WEIGHT, TOP, BLOCK = 0.6, 1.0, 0.5, 200, 4096
 #: Rows of a block that are multiplied at a time.
 STRIP = 1024
+#: No ids; of a plain empty list Arrow makes no strings.
+NONE = np.zeros(0, object)
 
 
 def _dealt(notes: DataFrame, block: int, *others: str) -> DataFrame:
@@ -50,21 +52,31 @@ def similar_pairs(notes: DataFrame, floor: float = FLOOR, block: int = BLOCK) ->
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("note_id")
         ids = pdf["note_id"].to_numpy()
-        return pd.concat([pd.DataFrame({"a": ids[i], "b": ids[j], "sim": s}) for i, j, s in _pairs_of(pdf, floor)] or [pd.DataFrame({"a": [], "b": [], "sim": []})])
+        return pd.concat([pd.DataFrame({"a": ids[i], "b": ids[j], "sim": s}) for i, j, s in _pairs_of(pdf, floor)] or [pd.DataFrame({"a": NONE, "b": NONE, "sim": []})])
 
     return _dealt(notes, block).groupBy("low", "high").applyInPandas(join, "a string, b string, sim double").where(F.col("sim") >= floor)
 
 
-def heaviest(notes: DataFrame, floor: float, top: int, block: int = BLOCK) -> DataFrame:
-    """(a, b, sim) that hold the ``top`` heaviest links: of each pair of blocks only as many leave the task, so what is
-    shuffled on depends on the blocks and not on the pairs. Weights at the edge of a rounding are kept apart from the others, ``top`` of each weight, so
+def _dealt_across(notes: DataFrame, rest: DataFrame, block: int, *others: str) -> DataFrame:
+    """Rows of each block of ``notes`` with each block of ``rest``, which has none of them: low counts from 0, high from -1 down."""
+    n, m = (max(1, -(-df.count() // block)) for df in (notes, rest))
+    own = lambda df, k: df.select("note_id", "theme_id", "vec", *others, F.pmod(F.xxhash64("note_id"), F.lit(k)).cast("int").alias("k"))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    low = own(notes, n).withColumn("high", every(m)).select(F.col("k").alias("low"), (-F.col("high") - 1).alias("high"), F.col("k").alias("own"), "note_id", "theme_id", "vec", *others)
+    return low.unionByName(own(rest, m).withColumn("low", every(n)).select("low", (-F.col("k") - 1).alias("high"), (-F.col("k") - 1).alias("own"), "note_id", "theme_id", "vec", *others))
+
+
+def heaviest(notes: DataFrame, floor: float, top: int, block: int = BLOCK, rest: DataFrame | None = None) -> DataFrame:
+    """(a, b, sim) that hold the ``top`` heaviest links, with ``rest`` those of ``notes`` with each other and with ``rest``.
+
+    Of each pair of blocks only as many leave the task, so what is shuffled on depends on the blocks and not on the pairs. Weights at the edge of a rounding are kept apart from the others, ``top`` of each weight, so
     that none is lost, whichever way it is rounded later."""
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("note_id")
         ids, source = pdf["note_id"].to_numpy(), pd.factorize(pdf["source"])[0]
         us = pdf["created_us"].astype("float64").to_numpy()  # whole microseconds, exact in doubles
-        held = pd.DataFrame({"a": [], "b": [], "sim": [], "w": [], "exact": [], "edge": np.zeros(0, bool)})
+        held = pd.DataFrame({"a": NONE, "b": NONE, "sim": [], "w": [], "exact": [], "edge": np.zeros(0, bool)})
         for i, j, s in _pairs_of(pdf, floor):
             gap = np.nan_to_num(np.abs(np.floor((us[i] - us[j]) / DAY_US)))
             w = s * (1 + TIME_WEIGHT * np.minimum(gap / 90, 1) + SOURCE_WEIGHT * (source[i] != source[j]))
@@ -80,6 +92,8 @@ def heaviest(notes: DataFrame, floor: float, top: int, block: int = BLOCK) -> Da
         return held[["a", "b", "sim"]]
 
     rows = _dealt(notes, block, "source", "created_us")
+    if rest is not None:
+        rows = rows.unionByName(_dealt_across(notes, rest, block, "source", "created_us"))
     return rows.groupBy("low", "high").applyInPandas(join, "a string, b string, sim double").where(F.col("sim") >= floor)
 
 
@@ -90,15 +104,20 @@ def weight(sim: Column, gap: Column, other_source: Column) -> Column:
 
 def links(notes: DataFrame, floor: float = FLOOR, top: int | None = TOP) -> DataFrame:
     """Links with their weight (4 decimals), best first; ties by ids. ``top=None`` keeps all."""
+    out = weighed(similar_pairs(notes, floor) if top is None else heaviest(notes, floor, top), notes)
+    return out if top is None else best(out, top)
+
+
+def weighed(pairs: DataFrame, notes: DataFrame) -> DataFrame:
+    """Pairs (a, b, sim) as links with their weight."""
     side = lambda p: notes.select(F.col("note_id").alias(p), F.col("theme_id").alias(f"{p}_theme"), F.col("created_us").alias(f"{p}_us"), F.col("source").alias(f"{p}_source"))
-    pairs = (similar_pairs(notes, floor) if top is None else heaviest(notes, floor, top)).join(side("a"), "a").join(side("b"), "b")
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
     gap = F.coalesce(gap_days(F.col("a_us"), F.col("b_us")), F.lit(0))
-    out = pairs.select(
+    return pairs.select(
         link_id(F.col("a"), F.col("b")).alias("link_id"),
         F.col("a").alias("from_note"), F.col("b").alias("to_note"), F.col("a_theme").alias("from_theme"), F.col("b_theme").alias("to_theme"),
         F.round(weight(F.col("sim"), gap, F.col("a_source") != F.col("b_source")), 4).alias("weight"), gap.alias("gap_days"),
     )
-    return out if top is None else best(out, top)
 
 
 def best(rows: DataFrame, top: int) -> DataFrame:

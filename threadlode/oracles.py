@@ -221,6 +221,8 @@ SELECT item_id, j, round(x / sqrt(sum(x * x) OVER (PARTITION BY item_id)), 6) AS
     "unfinished_dormant": "SELECT theme_id, status, score FROM open_",
     "list_themes": "SELECT theme_id, session_count FROM themes ORDER BY session_count DESC, theme_id LIMIT 50",
     "links_topk": "SELECT link_id, from_note, to_note, weight, gap_days FROM links",
+    "refresh_links": "SELECT link_id, from_note, to_note, weight, gap_days FROM links",
+    "refresh_themes": "SELECT theme_id, session_count, source_count, first_us, last_us, n_notes, content_hash FROM rollup_",
     "links_all": "SELECT from_note AS note_id, count(*) AS n_links FROM all_links GROUP BY from_note",
     "connections": "SELECT link_id, from_note, to_note, from_text, to_text, from_source, to_source, weight, gap_days, why FROM told_links ORDER BY weight DESC, from_note, to_note LIMIT 20",
     "theme_pairs": """SELECT least(coalesce(from_theme, '?'), coalesce(to_theme, '?')) AS theme_a, greatest(coalesce(from_theme, '?'), coalesce(to_theme, '?')) AS theme_b,
