@@ -34,7 +34,7 @@ class SessionTable:
     """A sessions table in hashed buckets, each in one of ``SLOTS`` places: ``data/bucket=b/slot=s``.
 
     A commit writes every bucket that it touches as a whole, ``FILES`` files at most, into the bucket's next slot, over
-    what has lain there since three commits ago, and then one manifest file into the manifest's next slot. The state is that of the
+    what it held ``SLOTS`` changes ago, and then one manifest file into the manifest's next slot. The state is that of the
     manifest with the highest version, so a commit that dies before its manifest leaves the last state, and its remains
     are overwritten by the next. Files never exceed ``buckets * FILES * SLOTS``: old versions need no vacuum, small files no
     compaction. Read a ``current()`` before a bucket has changed ``SLOTS`` - 1 times more. One writer at a time; the renaming
