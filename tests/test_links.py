@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadlode.functions.ids import DAY_US, gap_days, link_id
+from tests.conftest import DATA
 from threadlode.operators import links
 
 SCHEMA = "note_id string, theme_id string, source string, created_us long, vec array<double>"
@@ -68,3 +69,36 @@ def test_many_equal_weights_at_the_edge_of_a_rounding(spark):
     pairs = lambda df: [(r["from_note"], r["to_note"], r["weight"]) for r in df.collect()]
     for top in (5, 20, 100, 180):
         assert pairs(links.links(notes, top=top)) == pairs(links.best(links.links(notes, top=None), top))
+
+
+def _plan(df, capsys):
+    capsys.readouterr()
+    df.explain()
+    return capsys.readouterr().out
+
+
+def test_packs_do_not_change_the_result(spark):
+    rows = _notes(spark, [(f"n{k}", f"t{k % 3}", "s", k, [math.cos(k / 5), math.sin(k / 5)]) for k in range(30)])
+    small, whole = (sorted((r["a"], r["b"]) for r in links.similar_pairs(rows, 0.6, 3, p).collect()) for p in (4, 1000))
+    assert small == whole and small
+    best = lambda **o: [tuple(r) for r in links.best(links.weighed(links.heaviest(rows, 0.6, 20, **o), rows), 20).collect()]
+    assert best(pack=4) == best()
+
+
+def test_no_vector_is_shuffled_for_a_pair(spark, capsys):
+    """Pairs of packs come from a cross join of written packs: what is shuffled is each note once, before."""
+    rows = _notes(spark, [(f"n{k}", f"t{k}", "s", k, [1.0, 0.0]) for k in range(9)])
+    for df in (links.similar_pairs(rows, 0.6, 2), links.heaviest(rows, 0.6, 9, 2)):
+        assert "hashpartitioning" not in _plan(df, capsys)
+
+
+def test_notes_without_an_id_or_a_vector_have_no_links(spark):
+    rows = _notes(spark, [("a", "t1", "s", 0, [1.0, 0.0]), ("b", "t2", "s", 0, [1.0, 0.0]), (None, "t3", "s", 0, [1.0, 0.0]), ("d", "t4", "s", 0, None)])
+    assert [(r["a"], r["b"]) for r in links.similar_pairs(rows, 0.6).collect()] == [("a", "b")]
+
+
+def test_plans_over_links_make_notes_once(spark, capsys):
+    from threadlode.catalog import QUERIES
+
+    for name in ("connections", "recall_bridges", "links_all"):
+        assert "documents.parquet" not in _plan(QUERIES[name](spark, DATA), capsys)
