@@ -1,12 +1,13 @@
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
 
 import corpus_pipeline
 from tests.conftest import DATA as SMALL
-from threadlode.llm import pii, quality, simhash
+from threadlode.llm import mixing, pii, quality, simhash
 from threadlode.llm.packing import CAPACITY
 from threadlode.llm.tokens import Chunker, vocabulary_path
 
@@ -102,3 +103,15 @@ def test_clashing_columns(spark):
         kept = {tuple(r[m] for m in more) for r in out.collect()}
         assert kept and kept <= {tuple(f"{m}{k}" for m in more) for k in range(5)}, name
     assert {r["doc_id"] for r in corpus_pipeline.packed(spark, docs, DATA).collect()} == {1, 2, 3, None}
+
+
+def test_plans_do_not_change_with_size(spark, capsys):
+    """Stages that join texts with a row per document shuffle them on small tables too: what they take grows with the input."""
+    docs = spark.createDataFrame([(k, f"text number {k}", "s") for k in range(20)], "doc_id long, text string, source string")
+    for stage in (simhash.one_of_each, mixing.mixed_documents):
+        capsys.readouterr()
+        out = stage(docs)
+        out.explain()
+        last = re.search(r"\w+Join\b", capsys.readouterr().out).group()  # a plan is shown from its end
+        assert last == "SortMergeJoin"
+        assert out.count() == 20

@@ -184,5 +184,6 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     d, s, position = free_names(docs, "_d", "_s", "_position")
     place = mix(docs, **options).groupBy(F.col("doc_id").alias(d), F.col("source").alias(s)).agg(F.min("position").alias(position))
-    placed = docs.join(place, docs["doc_id"].eqNullSafe(F.col(d)) & docs["source"].eqNullSafe(F.col(s)))
+    # a row a document is never broadcast: small tables take the plan of large ones, texts are shuffled twice at any size
+    placed = docs.join(place.hint("merge"), docs["doc_id"].eqNullSafe(F.col(d)) & docs["source"].eqNullSafe(F.col(s)))
     return placed.repartitionByRange(position).sortWithinPartitions(position).select(*docs.columns)

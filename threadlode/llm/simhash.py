@@ -208,4 +208,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         tied = named.join(tops.where("n > 1").select("group"), "group").select("group", "_row")
         first = tied.join(own.select("_row", "text"), "_row").groupBy("group").agg(F.min(F.struct("text", "_row")).alias("x"))
         kept = kept.union(first.select("x._row"))
-    return keyed.join(kept.select(F.col("_row").alias(row)), row, "left_semi").select(*docs.columns)
+    # a row a document is never broadcast: small tables take the plan of large ones, texts are shuffled once at any size
+    return keyed.join(kept.select(F.col("_row").alias(row)).hint("merge"), row, "left_semi").select(*docs.columns)
