@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from threadlode.functions.ids import DAY_US, gap_days, link_id
 from tests.conftest import DATA
-from threadlode.operators import links
+from threadlode.operators import links, themes
 
 SCHEMA = "note_id string, theme_id string, source string, created_us long, vec array<double>"
 
@@ -102,3 +103,21 @@ def test_plans_over_links_make_notes_once(spark, capsys):
 
     for name in ("connections", "recall_bridges", "links_all"):
         assert "documents.parquet" not in _plan(QUERIES[name](spark, DATA), capsys)
+
+
+def test_texts_of_notes_are_not_shuffled(spark, capsys):
+    """What links and themes are made of is joined without texts, in the same way at any size; those of few notes are looked up."""
+    from threadlode.plans.bindings import Tables
+
+    t = Tables(spark, DATA)
+    capsys.readouterr()
+    t.notes.drop("text").explain("formatted")
+    shuffled = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", capsys.readouterr().out)
+    assert len(shuffled) == 3 and not any("text#" in columns for columns in shuffled)
+    few = t.kept.orderBy("note_id").limit(7).select("note_id")
+    whole = {r["note_id"]: (r["text"], r["source"], r["session_id"], r["created_us"], r["kind"]) for r in t.notes.join(few, "note_id").collect()}
+    told = t.told(few.union(few)).collect()
+    assert len(told) == 7 and {r["note_id"]: (r["text"], r["source"], r["session_id"], r["created_us"], r["kind"]) for r in told} == whole
+    assert "text" not in t.kept.columns and sorted(r["label"] for r in t.rollup.collect()) == sorted(r["label"] for r in themes.rollup(t.notes.drop("line_hash", "head")).collect())
+    hashes = lambda df: {r["theme_id"]: r["content_hash"] for r in df.collect()}
+    assert hashes(t.rollup) == hashes(themes.rollup(t.notes.drop("line_hash", "head")))
