@@ -121,3 +121,17 @@ def test_texts_of_notes_are_not_shuffled(spark, capsys):
     assert "text" not in t.kept.columns and sorted(r["label"] for r in t.rollup.collect()) == sorted(r["label"] for r in themes.rollup(t.notes.drop("line_hash", "head")).collect())
     hashes = lambda df: {r["theme_id"]: r["content_hash"] for r in df.collect()}
     assert hashes(t.rollup) == hashes(themes.rollup(t.notes.drop("line_hash", "head")))
+
+
+def test_links_are_counted_where_they_are_found(spark, capsys):
+    """The same counts as of all pairs, in packs of any size; and no pair leaves a task."""
+    rows = _notes(spark, [(f"n{k:02d}", f"t{k % 3}" if k % 5 else None, "s", k, [math.cos(k / 5), math.sin(k / 5)]) for k in range(30)] + [("far", "t9", "s", 0, [-1.0, 0.0])])
+    want = {r["a"]: r["count"] for r in links.similar_pairs(rows, 0.6).groupBy("a").count().collect()}
+    for pack in (1, 4, 1000):
+        got = links.link_counts(rows, 0.6, 3, pack)
+        assert {r["note_id"]: r["n_links"] for r in got.collect()} == want and got.count() == len(want) > 20
+    assert links.link_counts(rows.limit(0)).count() == 0
+    from threadlode.catalog import QUERIES
+
+    shown = QUERIES["links_all"](spark, DATA)
+    assert "a#" not in (plan := _plan(shown, capsys)) and "sim#" not in plan
