@@ -135,3 +135,36 @@ def test_links_are_counted_where_they_are_found(spark, capsys):
 
     shown = QUERIES["links_all"](spark, DATA)
     assert "a#" not in (plan := _plan(shown, capsys)) and "sim#" not in plan
+
+
+#: Queries over stored notes and links.
+LINKED = (
+    "recall_handoff",
+)
+
+
+@pytest.mark.parametrize("name", LINKED)
+def test_no_step_shuffles_the_texts_of_all_notes(spark, capsys, monkeypatch, name):
+    """Of what a query writes on its way and of its own plan: notes are made once, in one step, and where documents are read no text is shuffled."""
+    from threadlode import catalog, session
+    from threadlode.plans import bindings, lenses
+
+    steps = []
+
+    def plan(df):
+        capsys.readouterr()
+        df.explain("formatted")
+        return capsys.readouterr().out
+
+    def written(df, step, *partition_by):
+        steps.append((step, plan(df)))
+        return session.materialize(df, step, *partition_by)
+
+    for module in (bindings, lenses, links, catalog):
+        monkeypatch.setattr(module, "materialize", written)
+    steps.append(("result", plan(catalog.QUERIES[name](spark, DATA))))
+    assert [step for step, _ in steps].count("notes") == 1 and [step for step, _ in steps].count("links") == 1
+    for step, shown in steps:
+        if "documents.parquet" in shown and step != "notes-told":  # that one holds few
+            assert not [c for c in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", shown) if re.search(r"\btext#", c)], step
+        assert step in ("notes", "notes-told") or not re.search(r"embeddings\.parquet", shown), step
