@@ -139,7 +139,7 @@ def test_links_are_counted_where_they_are_found(spark, capsys):
 
 #: Queries over stored notes and links.
 LINKED = (
-    "recall_handoff", "link_reasons", "doctor_repair", "doctor_checks", "rebuild_derived", "overview", "now_view", "bridges", "digest_connections", "digest_items", "proposal_candidates", "demo_seed", "connections", "connections_of_theme",
+    "recall_handoff", "link_reasons", "doctor_repair", "doctor_checks", "rebuild_derived", "overview", "now_view", "bridges", "digest_connections", "digest_items", "proposal_candidates", "demo_seed", "connections", "connections_of_theme", "links_data",
 )
 
 
