@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from tests.conftest import DATA
 from threadlode.catalog import QUERIES
 from threadlode.oracles import ORACLES
-from threadlode.plans import review
+from threadlode.plans import lenses, review
 
 #: Plans that between them use every operator; the driver compares all queries.
 SOME = ("upsert_classify", "pending_distill", "render_prompt", "links_topk", "recall", "recall_handoff", "digest_items", "proposal_candidates", "overview", "timeline_weeks", "commit_xref", "export_sessions", "kv_spellings", "label_cache", "status_cache", "digest_outcomes", "doctor_checks", "embed_missing", "recall_commits", "digests_data", "theme_content_hash", "theme_rollup", "refresh_links", "refresh_themes", "stream_ingest")
@@ -35,6 +35,42 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted(map(repr, want)) == sorted(repr(tuple(r[c] for c in columns)) for r in got.collect())
 
 
+@pytest.fixture(scope="module")
+def many_commits(tmp_path_factory):
+    """The small tables with 460 commits: the first 300 repeat the benchmark's texts, the others are documents."""
+    folder = tmp_path_factory.mktemp("many_commits")
+    for path in glob.glob(f"{DATA}/*.parquet"):
+        if not path.endswith("/benchmark.parquet"):
+            os.symlink(path, folder / os.path.basename(path))
+    text = f"""select r as item_id, b.text from range(300) t(r) join '{DATA}/benchmark.parquet' b on b.item_id = r % 40
+      union all select 300 + doc_id, text from '{DATA}/documents.parquet' where doc_id < 160"""
+    duckdb.sql(f"copy ({text}) to '{folder}/benchmark.parquet' (format parquet)")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["recall_commits", "recall_handoff", "commit_xref"])
+def test_more_commits_than_the_newest(spark, many_commits, name):
+    """``recall_commits`` reads all, the other two the newest 300 as their SQL does."""
+    con = duckdb.connect()
+    for path in glob.glob(f"{many_commits}/*.parquet"):
+        con.execute(f"create view {os.path.basename(path)[:-8]} as select * from '{path}'")
+    got = QUERIES[name](spark, many_commits)
+    want = con.execute(f"select {', '.join(got.columns)} from ({ORACLES[name]})").fetchall()
+    rows = [tuple(r) for r in got.collect()]
+    assert want and sorted(map(repr, want)) == sorted(map(repr, rows))
+    if name == "recall_commits":
+        shas = [int(r[3].split()[3][1:]) for r in rows if r[3]]
+        assert shas and max(shas) >= 300
+
+
+def test_commits_of_equal_or_no_position(spark):
+    hits = spark.createDataFrame([("a", "one two", "three four five six", "w", "open"), ("b", "ten", "eleven twelve", "w", "open"), ("c", "ten one", "two", "w", None)], "ref string, title string, summary string, why string, status string")
+    rows = [(None, "s", "one two three"), (7, "t", "three one two"), (900, "u", "one two four"), (900, "v", "six"), (901, "x", "ten eleven twelve"), (5, "y", None)]
+    got = lenses.with_commits(hits, spark.createDataFrame(rows, "pos long, sha string, message string")).collect()
+    assert sorted((r["ref"], r["git_ref"]) for r in got if r["git_ref"]) == [("a", "possibly implemented in u — “one two four”"), ("a", "possibly implemented in v — “six”"), ("b", "possibly implemented in x — “ten eleven twelve”")]
+    assert [r["why"] for r in got if r["ref"] == "c"] == ["w"] and all(r["why"].endswith("addressed this") for r in got if r["ref"] != "c")
+
+
 def test_every_query_is_registered():
     assert {*ORACLES} <= {*QUERIES} and {*QUERIES} <= {*entry.queries()}
     assert {*QUERIES} - {*ORACLES} == {"cluster_hdbscan", "distill_notes", "generate_proposals"}
